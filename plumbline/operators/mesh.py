@@ -436,6 +436,11 @@ def mesh_parts(mesh: Mesh, part_faces: int = PART_FACES):
             yield mesh.faces.sparkSession.sparkContext.broadcast(index)
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows over all shuffle partitions: measuring a point costs far more than moving it, and a file may be one partition."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 CLOSEST = "fid long, w0 double, w1 double, w2 double, px double, py double, pz double, nx double, ny double, nz double, d double"
 
 
@@ -443,7 +448,7 @@ def closest(points: DataFrame, mesh: Mesh, key: str, part_faces: int = PART_FACE
     """key, x, y, z and the closest place on the mesh: fid, weights, point, face normal, distance. Points without finite coordinates are left out."""
     kind = dict(points.dtypes)[key]
     rows = points.select(key, *(F.col(n).cast("double").alias(n) for n in "xyz")).filter(F.abs(F.col("x") + F.col("y") + F.col("z")) < float("inf"))
-    out, count = None, 0
+    rows, out, count = dealt(rows, key, "x", "y", "z"), None, 0
     for shared in mesh_parts(mesh, part_faces):
 
         def run(batches, shared=shared):
@@ -487,7 +492,7 @@ def ray_hits(rays: DataFrame, mesh: Mesh, key: str, max_angle: float | None = No
     """key, t, fid, x, y, z of the first hit of each ray (ox, oy, oz, dx, dy, dz); misses are left out."""
     kind = dict(rays.dtypes)[key]
     names = ["ox", "oy", "oz", "dx", "dy", "dz"]
-    rows = rays.select(key, *(F.col(n).cast("double").alias(n) for n in names))
+    rows = dealt(rays.select(key, *(F.col(n).cast("double").alias(n) for n in names)), key, *names)
     out = None
     for shared in mesh_parts(mesh):
 

@@ -184,33 +184,33 @@ def circle_fit(df: DataFrame, by: Sequence[str], x: str, y: str, rounds: int = 2
             out.append((u / 2, v / 2, float(np.sqrt(w + u * u / 4 + v * v / 4))))
         return pd.DataFrame(out, columns=["cx", "cy", "r"])
 
-    @F.pandas_udf("struct<cx:double,cy:double,r:double>")
+    @F.pandas_udf("struct<cx:double,cy:double,r:double,moved:double>")
     def step(c: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
         out = []
         for cx, cy, r, v in zip(c["cx"], c["cy"], c["r"], m, strict=True):
             n, sx, sy, xx, yy, xy, e, ex, ey = v
             a = np.array([[xx, xy, sx], [xy, yy, sy], [sx, sy, n]])
             d = np.linalg.lstsq(a, np.array([ex, ey, e]), rcond=None)[0]
-            out.append((cx + d[0], cy + d[1], r + d[2]))
-        return pd.DataFrame(out, columns=["cx", "cy", "r"])
+            out.append((cx + d[0], cy + d[1], r + d[2], float(np.abs(d).max())))
+        return pd.DataFrame(out, columns=["cx", "cy", "r", "moved"])
 
     names = [f"m_{k}" for k in ("n", "x", "y", "xx", "yy", "xy", "z", "xz", "yz")]
     fit = local.select(*by, "_mx", "_my", start(F.array(*names)).alias("c")).filter("c.cx is not null")
     fit = fit.select(*by, F.struct((F.col("c.cx") + F.col("_mx")).alias("cx"), (F.col("c.cy") + F.col("_my")).alias("cy"), F.col("c.r").alias("r")).alias("c"))
-    rows = rows.select(*by, "_x", "_y")
+    from .checkpoints import cut
+
+    rows, fit = rows.select(*by, "_x", "_y"), cut(fit, "circle")
     for _ in range(rounds):
         near = link(rows, fit)
         d = F.nullif(F.sqrt(F.pow(F.col("_x") - F.col("c.cx"), 2) + F.pow(F.col("_y") - F.col("c.cy"), 2)), F.lit(0.0))
         ux, uy, e = (F.col("_x") - F.col("c.cx")) / d, (F.col("_y") - F.col("c.cy")) / d, d - F.col("c.r")
         terms = [F.lit(1.0), ux, uy, ux * ux, uy * uy, ux * uy, e, e * ux, e * uy]
         sums = near.groupBy(*by, "c").agg(*(F.sum(t).alias(n) for t, n in zip(terms, names, strict=True)))
-        from .checkpoints import cut
-
-        fit = cut(sums.select(*by, step("c", F.array(*names)).alias("c")), "circle")
-        if rounds > 3:
-            moved = link(fit, sums.select(*by, F.col("c").alias("before"))).select(F.max(F.greatest(F.abs(F.col("c.cx") - F.col("before.cx")), F.abs(F.col("c.cy") - F.col("before.cy")), F.abs(F.col("c.r") - F.col("before.r"))))).first()[0]
-            if moved is None or moved < 1e-12:
-                break
+        state = cut(sums.select(*by, step("c", F.array(*names)).alias("s")), "circle")
+        fit = state.select(*by, F.struct("s.cx", "s.cy", "s.r").alias("c"))
+        moved = state.agg(F.max("s.moved")).first()[0]
+        if moved is None or moved < 1e-12:
+            break
     return fit.select(*by, F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"), F.col("c.r").alias("radius"))
 
 
