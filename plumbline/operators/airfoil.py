@@ -207,3 +207,140 @@ def stations_of(points: DataFrame, by: str, tol: float = 1e-3) -> DataFrame:
         return out
 
     return points.groupBy(by).applyInPandas(run, f"{by} {kind}, station long, " + ", ".join(f"{n} double" for n in names))
+
+
+# ---- more on edges -----------------------------------------------------------------------------------------------------
+def _beyond(section: Section, stations: Sequence[Station]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contour beyond the last station in order, direction of travel, last centre)."""
+    last = stations[-1]
+    way = last.centre - stations[-2].centre
+    way = way / max(np.linalg.norm(way), 1e-300)
+    ahead = (section.p - last.centre) @ way > 0
+    start = np.flatnonzero(~ahead & np.roll(ahead, -1))
+    order = np.roll(np.arange(len(ahead)), -(int(start[0]) + 1)) if len(start) else np.arange(len(ahead))
+    return section.p[order[ahead[order]]], way, last.centre
+
+
+def curvature_of(p: np.ndarray) -> np.ndarray:
+    a, b = np.roll(p, 1, axis=0), np.roll(p, -1, axis=0)
+    across = (p[:, 0] - a[:, 0]) * (b[:, 1] - a[:, 1]) - (p[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])
+    sides = np.linalg.norm(p - a, axis=1) * np.linalg.norm(b - p, axis=1) * np.linalg.norm(b - a, axis=1)
+    out = np.where(sides > 0, 2 * np.abs(across) / np.maximum(sides, 1e-300), 0)
+    out[[0, -1]] = 0
+    return out
+
+
+def fit_circle(p: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Geometric least squares by Gauss-Newton from the algebraic fit."""
+    a = np.column_stack([2 * p, np.ones(len(p))])
+    c = np.linalg.lstsq(a, (p**2).sum(1), rcond=None)[0]
+    centre, r = c[:2], float(np.sqrt(max(c[2] + c[0] ** 2 + c[1] ** 2, 0)))
+    for _ in range(rounds):
+        gap = p - centre
+        d = np.maximum(np.linalg.norm(gap, axis=1), 1e-300)
+        step = np.linalg.lstsq(np.column_stack([gap / d[:, None], np.ones(len(p))]), d - r, rcond=None)[0]
+        centre, r = centre + step[:2], r + step[2]
+        if np.abs(step).max() < 1e-14:
+            break
+    return centre, float(r)
+
+
+def locate_edge(section: Section, stations: Sequence[Station], strategy: str, radius: float | None = None, tol: float = 1e-4, seed: int = 24601) -> dict | None:
+    """The edge beyond the last station: point, and centre and radius where the strategy fits a circle.
+
+    open: none. intersect: along the last direction. gap: midway between the ends of an open contour. curvature: the
+    contour's sharpest place. fit: least-squares circle of the contour beyond the last station. constant: the circle of a
+    given radius that touches both sides. converge: where the tangents at the last contact points meet the contour.
+    ransac: the circle of three contour points that most of them are within tol of.
+    """
+    if strategy == "open" or len(stations) < 2:
+        return None
+    p, way, last = _beyond(section, stations)
+    if strategy in ("intersect", "gap") or len(p) < 3:
+        point = edge_point(section, stations, "intersect")
+        if strategy == "gap" and len(p) > 1:
+            step = np.linalg.norm(np.diff(p, axis=0), axis=1)
+            k = int(step.argmax())
+            point = (p[k] + p[k + 1]) / 2
+        return None if point is None else {"point": point}
+    if strategy == "curvature":
+        return {"point": p[int(curvature_of(p).argmax())]}
+    if strategy == "converge":
+        a, b = stations[-1].upper, stations[-1].lower
+        u, v = a - stations[-2].upper, b - stations[-2].lower
+        m = np.column_stack([u, -v])
+        if abs(np.linalg.det(m)) > 1e-12:
+            t = np.linalg.solve(m, b - a)
+            to = a + u * t[0] - last
+            hits = section.hits(last, to / max(np.linalg.norm(to), 1e-300))
+            hits = hits[hits > 0]
+            if len(hits):
+                return {"point": last + to / np.linalg.norm(to) * hits[0]}
+        return {"point": edge_point(section, stations, "intersect")}
+    if strategy == "constant":
+        if not radius:
+            raise ValueError("a constant radius is needed")
+        low, high = 0.0, float(section.hits(last, way)[-1])
+        for _ in range(80):  # the distance to the contour falls towards the edge
+            t = (low + high) / 2
+            low, high = (t, high) if section.closest(last + way * t)[0] > radius else (low, t)
+        centre, r = last + way * low, radius
+    elif strategy == "ransac":
+        rng, best, centre, r = np.random.default_rng(seed), -1, last, 0.0
+        for _ in range(500):
+            a, b, c = p[rng.choice(len(p), 3, replace=False)]
+            m = np.array([b - a, c - a]) * 2
+            if abs(np.linalg.det(m)) < 1e-14:
+                continue
+            u = np.linalg.solve(m, [(b - a) @ (b - a), (c - a) @ (c - a)])
+            near = int((np.abs(np.linalg.norm(p - a - u, axis=1) - np.hypot(*u)) <= tol).sum())
+            if near > best:
+                best, centre, r = near, a + u, float(np.hypot(*u))
+    else:
+        centre, r = fit_circle(p)
+    to = centre - last
+    to = to / np.linalg.norm(to) if np.linalg.norm(to) > 1e-12 else way
+    return {"point": centre + to * r, "centre": centre, "radius": r, "residual": float(np.abs(np.linalg.norm(p - centre, axis=1) - r).max())}
+
+
+def edge_kind(section: Section, stations: Sequence[Station], tol: float = 1e-3) -> str:
+    """open (a wide gap), square (two corners), sharp (one corner), round (a circle fits) or other."""
+    p, _, _ = _beyond(section, stations)
+    if len(p) < 3:
+        return "sharp"
+    step = np.linalg.norm(np.diff(p, axis=0), axis=1)
+    if step.max() > 10 * np.median(step) and step.max() > stations[-1].radius:
+        return "open"
+    a, b = p[1:-1] - p[:-2], p[2:] - p[1:-1]
+    angle = np.abs(np.arctan2(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0], (a * b).sum(1)))
+    corners = int((angle > np.pi / 4).sum())
+    if corners == 2:
+        return "square"
+    if corners == 1:
+        return "sharp"
+    c, r = fit_circle(p)
+    near = np.abs(np.linalg.norm(p - c, axis=1) - r)
+    return "round" if near.max() < max(tol, 0.1 * r) else "other"
+
+
+def faces_of(points: np.ndarray, result: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The contour's upper and lower side, both from the leading to the trailing edge."""
+    p = Section(points).p
+    ends = [result[k] if result[k] is not None else result["stations"][j].centre for k, j in (("leading", 0), ("trailing", -1))]
+    i, j = (int(np.linalg.norm(p - e, axis=1).argmin()) for e in ends)
+    one = p[i : j + 1] if i <= j else np.concatenate([p[i:], p[: j + 1]])
+    two = (p[j : i + 1] if j <= i else np.concatenate([p[j:], p[: i + 1]]))[::-1]
+    chord = ends[1] - ends[0]
+    above = lambda q: turn(chord, q.mean(axis=0) - ends[0])
+    return (one, two) if above(one) >= above(two) else (two, one)
+
+
+def caliper_chord(points: np.ndarray, lower_side: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Origin and direction of the chord that a straight edge on the section's longest hull edge gives."""
+    p = Section(points).p
+    hull = p[hull_2d(p)]
+    step = np.roll(hull, -1, axis=0) - hull
+    k = int((step**2).sum(1).argmax())
+    way = step[k] / np.linalg.norm(step[k])
+    t = (hull - hull[k]) @ way
+    return hull[k] + way * t.min(), way * (t.max() - t.min())

@@ -356,3 +356,69 @@ def multi_mesh(samples: DataFrame, meshes: dict[int, Mesh], static: int | None =
 def correspondence_counts(samples: DataFrame) -> DataFrame:
     """i, j, n: samples shared by each unordered pair of meshes."""
     return samples.groupBy(F.least("mesh_id", "to_id").alias("i"), F.greatest("mesh_id", "to_id").alias("j")).agg(F.count("*").alias("n"))
+
+
+def alignment_samples(mesh: Mesh, spacing: float, other: Mesh | None = None, max_dist: float | None = None, max_angle: float = 0.5, planarity: float = 0.9) -> DataFrame:
+    """id, x, y, z, nx, ny, nz: thinned places of a mesh that are fit for alignment.
+
+    Places stay where the surface around is flat (by the neighbours within three spacings), and over the other mesh where
+    one is given; then those farther than the mean and three deviations from it are left out, if there are over ten.
+    """
+    from .checkpoints import cut
+    from .mesh import closest, numbered
+    from .normals import estimate_normals
+    from .sampling import dense_samples, poisson_disk
+
+    raw = dense_samples(mesh.corners(), spacing / 2).withColumn("k", F.struct("fid", "w0", "w1"))
+    dense = cut(numbered(raw, "k").select(F.col("n").alias("id"), "fid", "x", "y", "z"), "samples")
+    thin = poisson_disk(dense, "id", ("x", "y", "z"), spacing)
+    geometry = mesh.face_geometry().select("fid", F.col("nx").alias("fx"), F.col("ny").alias("fy"), F.col("nz").alias("fz"))
+    thin = cut(thin.join(geometry, "fid").filter("fx is not null"), "samples")
+    flat = estimate_normals(thin, "id", 3 * spacing, ("fx", "fy", "fz")).filter(F.col("confidence") >= planarity)
+    good = thin.join(flat.select("id"), "id", "left_semi").select("id", "x", "y", "z", F.col("fx").alias("nx"), F.col("fy").alias("ny"), F.col("fz").alias("nz"))
+    if other is None:
+        return good
+    met = closest(good.select("id", "x", "y", "z"), other, "id").select("id", "d", F.col("nx").alias("ox"), F.col("ny").alias("oy"), F.col("nz").alias("oz"))
+    both = good.join(met, "id").filter(F.acos(F.least(F.greatest(F.col("nx") * F.col("ox") + F.col("ny") * F.col("oy") + F.col("nz") * F.col("oz"), F.lit(-1.0)), F.lit(1.0))) <= max_angle)
+    if max_dist is not None:
+        both = both.filter(F.col("d") <= max_dist)
+    both = cut(both, "samples")
+    n, mean, dev = both.agg(F.count("*"), F.avg("d"), F.stddev_pop("d")).first()
+    if n > 10:
+        both = both.filter(F.col("d") <= mean + 3 * dev)
+    return both.select("id", "x", "y", "z", "nx", "ny", "nz")
+
+
+def weights(samples: DataFrame, id_: str = "id", **columns) -> DataFrame:
+    """samples with w, the product of weight columns (null counts as 0)."""
+    w = F.lit(1.0)
+    for c in columns.values():
+        w = w * F.coalesce(c.cast("double"), F.lit(0.0))
+    return samples.withColumn("w", w)
+
+
+def stable_subset(points: DataFrame, key: str, share: float) -> DataFrame:
+    """key of the smallest set, in stability order, that holds each of the six motions by at least a share of what all points do.
+
+    The driver bisects the number of points; each step is one aggregation of six sums over the ranked (thinned) points.
+    """
+    from .checkpoints import cut
+    from .sampling import stability_order
+
+    c = {n: F.col(n) for n in ("x", "y", "z", "nx", "ny", "nz")}
+    parts = [c["nx"], c["ny"], c["nz"], c["y"] * c["nz"] - c["z"] * c["ny"], c["z"] * c["nx"] - c["x"] * c["nz"], c["x"] * c["ny"] - c["y"] * c["nx"]]
+    from pyspark.sql import Window
+
+    ranked = stability_order(points, key).withColumn("place", F.row_number().over(Window.orderBy("order", key)))
+    rows = cut(points.join(ranked.select(key, "place"), key).select(key, "place", *((p * p).alias(f"s{k}") for k, p in enumerate(parts))), "stability")
+    n = rows.count()
+    whole = rows.agg(*(F.sum(f"s{k}") for k in range(6))).first()
+    low, high = 0, n
+    while low < high:
+        middle = (low + high) // 2
+        got = rows.filter(F.col("place") <= middle).agg(*(F.sum(f"s{k}") for k in range(6))).first()
+        if all((g or 0.0) >= share * (w or 0.0) - 1e-12 for g, w in zip(got, whole, strict=True)):
+            high = middle
+        else:
+            low = middle + 1
+    return rows.filter(F.col("place") <= low).select(key)

@@ -602,3 +602,38 @@ def uv_lookup(queries: DataFrame, uv: DataFrame, key: str) -> DataFrame:
     met = q.join(dealt, ["_u", "_v"]).select(key, "fid", *(x.alias(f"w{k}") for k, x in enumerate(w)))
     inside = reduce(lambda a, b: a & b, (F.col(f"w{k}") >= -1e-9 for k in range(3)))
     return met.filter(inside & (F.col("w0") + F.col("w1") + F.col("w2") > 0.5)).groupBy(key).agg(F.min_by(F.struct("fid", "w0", "w1", "w2"), "fid").alias("r")).select(key, "r.*")
+
+
+def project_to_uv(points: DataFrame, mesh: Mesh, uv: DataFrame, key: str, max_dist: float | None = None) -> DataFrame:
+    """key, u, v, height: the texture place of the closest place on the mesh (uv: vid, u, v) and the signed height over it."""
+    found = deviations(points, mesh, key)
+    if max_dist is not None:
+        found = found.filter(F.col("d") <= max_dist)
+    out = found.join(mesh.faces.select("fid", "a", "b", "c"), "fid")
+    for k, n in enumerate("abc"):
+        out = out.join(uv.select(F.col("vid").alias(n), F.col("u").alias(f"u{k}"), F.col("v").alias(f"v{k}")), n)
+    mix = lambda c: sum((F.col(f"{c}{k}") * F.col(f"w{k}") for k in range(3)), F.lit(0.0))
+    return out.select(key, mix("u").alias("u"), mix("v").alias("v"), F.col("deviation").alias("height"))
+
+
+def uv_to_3d(queries: DataFrame, mesh: Mesh, uv: DataFrame, key: str) -> DataFrame:
+    """key, fid, x, y, z of the mesh at texture places (key, u, v); places outside all triangles are left out."""
+    tri = mesh.faces
+    for k, n in enumerate("abc"):
+        tri = tri.join(uv.select(F.col("vid").alias(n), F.col("u").alias(f"u{k}"), F.col("v").alias(f"v{k}")), n)
+    met = uv_lookup(queries, tri.select("fid", *(f"{c}{k}" for k in range(3) for c in "uv")), key).join(mesh.corners(), "fid")
+    return met.select(key, "fid", *(sum((F.col(f"{c}{k}") * F.col(f"w{k}") for k in range(3)), F.lit(0.0)).alias(c) for c in "xyz"))
+
+
+def faces_overlap(mesh: Mesh, other: Mesh, angle: float, distance: float) -> DataFrame:
+    """fid of the faces that lie over another mesh: each of a face's corners and its centre is within distance of it, the
+    closest faces' normals are less than angle off the face's, and the centre is approached along the face's normal."""
+    c = mesh.corners().join(mesh.face_geometry().filter("area > 1e-12"), "fid")
+    places = F.array(*(F.struct(F.lit(k).alias("k"), *(F.col(f"{n}{k}").alias(n) for n in "xyz")) for k in range(3)), F.struct(F.lit(3).alias("k"), *(((F.col(f"{n}0") + F.col(f"{n}1") + F.col(f"{n}2")) / 3).alias(n) for n in "xyz")))
+    probes = cut(c.select("fid", "nx", "ny", "nz", F.explode(places).alias("p")).select((F.col("fid") * 4 + F.col("p.k")).alias("id"), "fid", F.col("nx").alias("fx"), F.col("ny").alias("fy"), F.col("nz").alias("fz"), "p.x", "p.y", "p.z"), "probes")
+    met = closest(probes.select("id", "x", "y", "z"), other, "id").drop("x", "y", "z", "fid").join(probes, "id")
+    normal = V.angle_between(V.vec("fx", "fy", "fz"), V.vec("nx", "ny", "nz"))
+    way = V.angle_between(V.vec("fx", "fy", "fz"), tuple(F.col(f"p{n}") - F.col(n) for n in "xyz"))
+    along = (F.col("id") % 4 != 3) | (F.col("d") < 1e-9) | (F.least(way, math.pi - way) < angle)
+    ok = (F.col("d") <= distance) & (normal < angle) & F.coalesce(along, F.lit(False))
+    return met.groupBy("fid").agg(F.bool_and(F.coalesce(ok, F.lit(False))).alias("ok")).filter("ok").select("fid")

@@ -243,7 +243,9 @@ def octagon(radius: int) -> np.ndarray:
 
 
 def area_average(df: DataFrame, by: Keys, radius: int) -> DataFrame:
-    return convolve(df, by, octagon(radius).astype(float))
+    """Mean of the valid pixels around, in an octagon."""
+    kernel = octagon(radius).astype(float)
+    return convolve(df, by, kernel / kernel.sum())
 
 
 def area_filtered(df: DataFrame, by: Keys, radius: int) -> DataFrame:
@@ -408,3 +410,22 @@ def inpaint(df: DataFrame, holes: DataFrame, by: Keys, radius: int = 5) -> DataF
     if by:
         return rows.groupBy(*by).applyInPandas(run, schema).filter("not isnan(v)")
     return rows.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda pdf: run(pdf)[["row", "col", "v"]], schema).filter("not isnan(v)")
+
+
+def erode_from_border(df: DataFrame, by: Keys, rows: int, cols: int, steps: int) -> DataFrame:
+    """df without the valid pixels that are within so many steps of the invalid area around the raster's border; holes inside stay as they are."""
+    outside = flood_fill(df.select("row", "col"), rows, cols)
+    reach = dilate(outside, (), steps)
+    return df.join(reach, ["row", "col"], "left_anti")
+
+
+def convolve_fast(df: DataFrame, by: Keys, sigma: float, target: float = 2.0) -> DataFrame:
+    """A wide Gaussian by its shrunk raster: block means, a Gaussian of about target pixels, and the nearest block's value."""
+    factor = max(1, int(sigma / target))
+    if factor == 1:
+        return convolve(df, by, gaussian_kernel(sigma))
+    block = [F.floor(F.col(c) / factor).cast("long").alias(c) for c in ("row", "col")]
+    small = df.filter(F.col("v").isNotNull()).groupBy(*by, *block).agg(F.avg("v").alias("v"))
+    blurred = convolve(small, by, gaussian_kernel(sigma / factor)).withColumnRenamed("v", "_v").withColumnRenamed("row", "_r").withColumnRenamed("col", "_c")
+    rows = df.withColumn("_r", F.floor(F.col("row") / factor).cast("long")).withColumn("_c", F.floor(F.col("col") / factor).cast("long"))
+    return rows.join(blurred, [*by, "_r", "_c"]).select(*by, "row", "col", F.col("_v").alias("v"))

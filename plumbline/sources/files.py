@@ -368,3 +368,49 @@ def save_json(df: DataFrame, path: str) -> None:
 def json_of(df: DataFrame) -> list[dict]:
     """A few rows as plain objects."""
     return [json.loads(r) for r in df.toJSON().collect()]
+
+
+def clean_scan(points: DataFrame, y_step: float, gap_steps: float = 100.0, bad_edge_count: int = 3) -> DataFrame:
+    """points (frame, idx, x, y, z) without those next to an end of their profile or to a gap in x of over gap_steps steps."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("frame").orderBy("x", "idx")
+    wide = F.coalesce(F.col("x") - F.lag("x").over(w) > gap_steps * y_step, F.lit(True))
+    run = points.withColumn("_start", wide.cast("int")).withColumn("_run", F.sum("_start").over(w))
+    r = Window.partitionBy("frame", "_run").orderBy("x", "idx")
+    n = F.count("*").over(Window.partitionBy("frame", "_run"))
+    place = F.row_number().over(r)
+    kept = run.withColumn("_i", place).withColumn("_n", n).filter((F.col("_i") > bad_edge_count) & (F.col("_i") <= F.col("_n") - bad_edge_count))
+    return kept.select(*points.columns)
+
+
+def comprehensive_scan(points: DataFrame, y_step: float, detector_y: float, detector_z: float, uncertainty_scale: float, bad_edge_count: int = 3, check_occlusion: bool = False) -> DataFrame:
+    """A cleaned scan with normals from its own triangle strips and std_dev from the detector's angle.
+
+    check_occlusion: points that the surface hides from the detector are left out.
+    """
+    from ..functions.angles import scan_uncertainty
+    from ..operators.checkpoints import cut
+    from ..operators.mesh import closest, ray_hits
+
+    rows = cut(clean_scan(points, y_step, bad_edge_count=bad_edge_count).withColumn("id", F.monotonically_increasing_id()), "scan")
+    surface = scan_mesh(rows, y_step)
+    met = closest(rows, surface, "id").select("id", "nx", "ny", "nz")
+    up = F.when(F.col("nz") < 0, -1.0).otherwise(1.0)
+    out = rows.join(met, "id").withColumns({n: F.col(n) * up for n in ("nx", "ny", "nz")}).withColumn("std_dev", scan_uncertainty(F.col("z"), detector_z, detector_y, uncertainty_scale))
+    if check_occlusion:
+        to = {"dx": F.lit(0.0), "dy": F.lit(float(detector_y)), "dz": F.lit(float(detector_z)) - F.col("z")}
+        eps = 1e-4
+        rays = rows.select("id", (F.col("x") + to["dx"] * eps).alias("ox"), (F.col("y") + to["dy"] * eps).alias("oy"), (F.col("z") + to["dz"] * eps).alias("oz"), *(v.alias(k) for k, v in to.items()))
+        out = out.join(ray_hits(rays, surface, "id").filter("t < 1").select("id"), "id", "left_anti")
+    return out.drop("id")
+
+
+def to_umesh(spark: SparkSession, kind: str, path: str, compress: bool = True) -> tuple[bytes, float, float]:
+    """An stl or ply file as umesh bytes, with the largest and the mean distance that rounding moved a vertex."""
+    mesh = load_mesh(spark, kind, path)
+    data = mesh_bytes(mesh, "umesh", compress).first()["content"]
+    again, _ = fm.read_umesh(data)
+    own = np.array([tuple(r) for r in mesh.vertices.orderBy("vid").select("x", "y", "z").collect()])
+    d = np.linalg.norm(own - again, axis=1)
+    return data, float(d.max()), float(d.mean())

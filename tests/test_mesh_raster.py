@@ -298,3 +298,75 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 9
+
+
+def test_clouds(spark):
+    from plumbline.operators.clouds import PointCloud
+
+    rows = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), (1, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0), (2, 5.0, 5.0, 5.0, 1.0, 0.0, 0.0)], "idx long, x double, y double, z double, nx double, ny double, nz double")
+    cloud = PointCloud.of(rows)
+    assert cloud.merged(cloud).rows.agg(F.max("idx")).first()[0] == 5
+    with pytest.raises(ValueError):
+        cloud.merged(PointCloud(rows.drop("nx", "ny", "nz")))
+    moved = cloud.transformed(align.iso3(1, 2, 3, 0, 0, math.pi / 2)).rows.filter("idx = 2").first()
+    assert (moved["x"], moved["y"], moved["z"], moved["ny"]) == pytest.approx((-4, 7, 8, 1))
+    picked = cloud.picked(spark.createDataFrame([(0, 2), (1, 0), (2, 2)], "position long, idx long")).rows.orderBy("idx").collect()
+    assert [r["x"] for r in picked] == [5, 0, 5]
+    with pytest.raises(Exception, match="out of range"):
+        cloud.picked(spark.createDataFrame([(0, 9)], "position long, idx long")).rows.collect()
+    assert cloud.poisson_sample(1.5).rows.count() == 2 and PointCloud.empty(spark, colors=True).rows.columns[-1] == "b"
+    near = PointCloud(spark.createDataFrame([(7, 0.1, 0.0, 0.0), (8, 90.0, 0.0, 0.0)], "idx long, x double, y double, z double"))
+    assert [r["idx"] for r in cloud.overlap_with_cloud(near, 0.5).orderBy("idx").collect()] == [0]
+
+
+def test_overlap_and_uv(spark, box):
+    lid = box.transformed(align.iso3(0, 0, 0.02))
+    assert mesh.faces_overlap(box, lid, 0.3, 0.05).count() >= 2
+    flat = mesh.grid(spark, 3, 3)
+    uv = flat.vertices.select("vid", (F.col("x") / 2).alias("u"), (F.col("y") / 2).alias("v"))
+    place = mesh.project_to_uv(points(spark, [(0.5, 1.5, 0.25)]), flat, uv, "id").first()
+    assert (place["u"], place["v"], abs(place["height"])) == pytest.approx((0.25, 0.75, 0.25))
+    back = mesh.uv_to_3d(spark.createDataFrame([(0, 0.25, 0.75), (1, 3.0, 0.0)], "id long, u double, v double"), flat, uv, "id").collect()
+    assert [(r["id"], r["x"], r["y"]) for r in back] == [(0, 0.5, 1.5)]
+
+
+def test_alignment_samples(spark):
+    shape = mesh.box(spark, 8.0, 8.0, 8.0)
+    found = align.alignment_samples(shape, 1.5)
+    assert 0 < found.count() < 300
+    kept = align.stable_subset(found, "id", 0.5).count()
+    assert 0 < kept < found.count()
+
+
+def test_raster_borders(spark):
+    full = raster.rectangle(spark, 2, 2, 10, 10).withColumn("v", F.lit(1.0))
+    assert raster.erode_from_border(full, (), 14, 14, 1).count() == 64
+    smooth = raster.convolve_fast(full, (), 8.0)
+    assert smooth.count() == 100 and smooth.agg(F.max(F.abs(F.col("v") - 1))).first()[0] < 1e-9
+
+
+def test_airfoil_edges():
+    t = np.linspace(0, 2 * np.pi, 600, endpoint=False)
+    r = 0.05 + 0.03 * (1 + np.cos(t)) / 2
+    pill = np.stack([np.where(np.cos(t) >= 0, 1.0, 0.0) + np.cos(t) * 0.1, np.sin(t) * 0.1], 1)  # two half circles, straight sides
+    result = airfoil.analyse(pill, 1e-4)
+    section = airfoil.Section(pill)
+    for strategy in ("intersect", "fit", "constant", "ransac", "converge"):
+        e = airfoil.locate_edge(section, result["stations"], strategy, radius=0.1, tol=1e-6)
+        end = min(np.linalg.norm(e["point"] - [1.1, 0]), np.linalg.norm(e["point"] - [-0.1, 0]))
+        assert end < 0.02, strategy
+    assert airfoil.edge_kind(section, result["stations"]) == "round"
+    upper, lower = airfoil.faces_of(pill, result)
+    assert upper[:, 1].mean() > 0 > lower[:, 1].mean()
+    assert np.linalg.norm(airfoil.caliper_chord(pill)[1]) == pytest.approx(1.2, abs=1e-3)
+    assert r.min() > 0
+
+
+def test_scan_cleaning(spark):
+    rows = [(f, k, k * 0.1 + (20 if k >= 20 else 0), f * 0.1, 0.01 * f) for f in range(4) for k in range(40)]
+    pts = spark.createDataFrame(rows, "frame long, idx long, x double, y double, z double")
+    kept = files.clean_scan(pts, 0.1, bad_edge_count=2)
+    assert kept.filter("frame = 0").count() == 40 - 8
+    whole = files.comprehensive_scan(pts, 0.1, 5.0, 10.0, 0.01, bad_edge_count=2, check_occlusion=True)
+    first = whole.first()
+    assert whole.count() == 4 * 32 and first["nz"] > 0.99 and first["std_dev"] > 0.01
