@@ -18,7 +18,7 @@ from .shared import stored
 TRAIN_DOCS, TRAIN_CHARS, DICTIONARY_BYTES = 400, 2000, 48_000
 #: Texts are encoded in blocks of so many bytes, so that a long text can't outgrow the dictionary by its own history.
 BLOCK_BYTES = 4096
-#: Short texts, and texts without a clear margin, are encoded behind so many bytes of each language as well.
+#: Short texts, and texts without a clear margin, are encoded behind pieces of so many bytes of each language as well.
 PREFIX_BYTES, SHORT_BYTES, UNCLEAR = 6000, 300, 0.004
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -66,13 +66,14 @@ class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], level: int = 6):
         self.langs, self.level = sorted(dictionaries), level
         self.with_dictionary, self.prefixes = [], []
+        pieces = max(1, min((len(d) // PREFIX_BYTES for d in dictionaries.values()), default=1))  # as many for each language
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         for lang in self.langs:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=level)
             self.with_dictionary.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
-            prefix = dictionaries[lang][-PREFIX_BYTES:]
-            self.prefixes.append((prefix, len(self.plain.compress(prefix))))
+            prefixes = [dictionaries[lang][k * PREFIX_BYTES : (k + 1) * PREFIX_BYTES] for k in range(pieces)]
+            self.prefixes.append([(p, len(self.plain.compress(p))) for p in prefixes])
 
     def sizes(self, data: bytes) -> np.ndarray:
         """Bytes of the text encoded with each language's dictionary."""
@@ -83,11 +84,12 @@ class Classifier:
         return out
 
     def added(self, data: bytes) -> np.ndarray:
-        """Bytes by which the text lengthens the encoding of each language's prefix; this tells short texts apart by their letters."""
+        """Bytes by which the text lengthens the encodings of each language's pieces; this tells short texts apart by their
+        letters, and the sum over pieces is finer than one size in whole bytes."""
         out = np.zeros(len(self.langs), np.int64)
         for a in range(0, len(data), BLOCK_BYTES):
             block = b" " + data[a : a + BLOCK_BYTES]
-            out += [len(self.plain.compress(prefix + block)) - size for prefix, size in self.prefixes]
+            out += [sum(len(self.plain.compress(p + block)) - size for p, size in own) for own in self.prefixes]
         return np.maximum(out, 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
