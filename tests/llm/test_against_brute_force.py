@@ -1,5 +1,6 @@
 """Queries that SQL can't express, and the pipeline, against plain Python on the smallest tables."""
 
+import functools
 import struct
 import zlib
 from collections import defaultdict
@@ -22,24 +23,30 @@ def docs(spark):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
 
-def ids_of(name, text):
+@functools.cache
+def tokenizer(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return t
+
+
+def ids_of(name, text):
+    return [*tokenizer(name).encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
 
+@functools.cache
 def fingerprint(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
         words = words.replace(c, " ")
     words = [w for w in words.split(" ") if w]
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    hashes = np.array([xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles], dtype=np.uint64)
+    return sum(1 << b for b in range(64) if 2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > len(hashes))
 
 
 def groups(fps, radius=3):
