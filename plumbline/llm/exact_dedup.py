@@ -112,23 +112,21 @@ def exact_dedup(docs: DataFrame, capacity: int = 4096, key=F.xxhash64) -> DataFr
     keys = stored(keys, "key-groups")
     index = build_index(keys, capacity)
 
-    # chains: only rows whose key is shared carry their bytes
-    shared = index.entries.filter("group_size > 1").select("h")
-    chain = rows.join(shared, "h", "left_semi").withColumn("best", order)
+    # chains: only rows whose key is shared carry their bytes on. The joins with one row for each key are split by
+    # adaptive execution where a key is hot; no step gathers a key's rows in one task
+    shared = index.entries.filter("group_size > 1").select("h", "keep_id")
+    chain = stored(rows.join(shared, "h"), "chain").withColumn("best", F.struct(order.alias("o"), F.col("norm").alias("norm")))
+    heads = stored(chain.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.max("best.norm").alias("first")), "heads")
     moved = None
     for link in range(1, 1 << 20):
-        # the first row of each chain; the maximum is taken before the shuffle, so a hot group moves no texts here
-        first = chain.groupBy("h").agg(F.max_by("norm", "best").alias("first"), F.max("best").alias("first_best"))
-        # a hot key's rows are dealt to several tasks by adaptive execution's skew join
-        other = stored(chain.join(first, "h").filter("norm <> first").drop("first", "first_best"), "chain")
+        other = stored(chain.join(heads, "h").filter("norm <> first").select("h", "doc_id", "norm", "best"), "chain")
         if not other.limit(1).count():
             break
-        # rows equal to the first row of this link have left the chain; who stays for the next link's rows:
-        heads = other.groupBy("h").agg(F.max_by("norm", "best").alias("norm"), F.max("best").alias("head"))
-        part = other.join(heads, ["h", "norm"]).select("h", "doc_id", F.sha2("norm", 256).alias("text_sha256"), "head")
-        part = part.withColumn("link", F.lit(link))
+        # rows equal to the first row of this link have left the chain; the best of the others heads the next link
+        best = stored(other.groupBy("h").agg(F.max("best").alias("b")).select("h", F.col("b.norm").alias("first"), F.col("b.o").alias("head")), "heads")
+        part = other.join(best, "h").filter("norm = first").select("h", "doc_id", F.sha2("norm", 256).alias("text_sha256"), "head", F.lit(link).alias("link"))
         moved = part if moved is None else moved.unionAll(part)
-        chain = other
+        chain, heads = other, best.select("h", "first")
     answer = light.join(index.entries.select("h", "keep_id", "group_size"), "h")
     if moved is not None:
         moved = stored(moved.distinct(), "moved")
