@@ -89,18 +89,27 @@ class _Union:
 
 
 def unit_links(fps: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a unit: fewer links than fingerprints. side: 0 and 1 are two blocks of a split group (links within the blocks are found elsewhere); 2: one whole block."""
+    """A spanning forest of the links in a unit. side: 2 for one whole block; 0 and 1 are two blocks of a split group.
+
+    Each block of a split group is a unit of its own as well, so a pair of blocks only gives the links that connect what
+    isn't connected inside them: a dense group cut into many blocks gives few links for each pair.
+    """
     order = np.argsort(np.bitwise_count(fps), kind="stable")
     fps, side = fps[order], side[order]
-    left, right = (fps, fps) if side[0] == 2 else (fps[side == 0], fps[side == 1])
-    union, out = _Union(len(left) + len(right)), []
-    shift = 0 if left is right else len(left)
-    for s in range(0, len(left), 512):
-        i, j = tile_links(left[s : s + 512], right, radius)
-        i = i + s
-        if left is right:
-            i, j = i[i < j], j[i < j]
-        out += [(int(left[x]), int(right[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if union.join(x, y + shift)]
+    union, out = _Union(len(fps)), []
+    blocks = [np.arange(len(fps))] if side[0] == 2 else [np.flatnonzero(side == k) for k in (0, 1)]
+
+    def meet(left: np.ndarray, right: np.ndarray, told: bool) -> None:
+        for s in range(0, len(left), 512):
+            i, j = tile_links(fps[left[s : s + 512]], fps[right], radius)
+            for x, y in zip(left[i + s].tolist(), right[j].tolist(), strict=True):
+                if x != y and union.join(x, y) and told:
+                    out.append((int(fps[x]), int(fps[y])))
+
+    for block in blocks:
+        meet(block, block, len(blocks) == 1)
+    if len(blocks) == 2:
+        meet(*blocks, True)
     return out
 
 
