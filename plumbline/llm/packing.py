@@ -25,8 +25,8 @@ from .shared import stored
 # ---- one block ----------------------------------------------------------------------------------------------------
 def best_fit(lengths: list[int], order: list[int], capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
     """Put each piece in the fullest bin that has room, else in a new one. bins: what is packed already; it is not changed."""
-    bins = [list(b) for b in bins or []]
-    room = sorted((capacity - sum(lengths[i] for i in b), k) for k, b in enumerate(bins))
+    bins, length = [list(b) for b in bins or []], lengths.__getitem__
+    room = sorted((capacity - sum(map(length, b)), k) for k, b in enumerate(bins))
     for i in order:
         at = bisect.bisect_left(room, (lengths[i], -1))
         if at == len(room):
@@ -41,12 +41,14 @@ def best_fit(lengths: list[int], order: list[int], capacity: int, bins: list[lis
 
 def fitness(lengths: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then the fuller ones (larger is better)."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
+    length = lengths.__getitem__
+    return -len(bins), sum((sum(map(length, b)) / capacity) ** 2 for b in bins)
 
 
 def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
     """Well-filled bins of b go into a whole; bins of a with a piece of theirs are opened and their other pieces best-fitted."""
-    good = [x for x in b if sum(lengths[i] for i in x) >= 0.99 * capacity]
+    length = lengths.__getitem__
+    good = [x for x in b if sum(map(length, x)) >= 0.99 * capacity]
     injected = rng.sample(good, max(1, len(good) // 3)) if good else []
     taken = {i for x in injected for i in x}
     kept, displaced = [], []
@@ -56,7 +58,7 @@ def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capaci
         else:
             displaced += [i for i in x if i not in taken]
     # the least filled bins are opened too, so that the displaced pieces find partners
-    kept.sort(key=lambda x: -sum(lengths[i] for i in x))
+    kept.sort(key=lambda x: -sum(map(length, x)))
     opened = max(1, len(kept) // 20) if kept else 0
     displaced += [i for x in kept[len(kept) - opened :] for i in x]
     displaced.sort(key=lambda i: -lengths[i])
@@ -64,24 +66,24 @@ def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capaci
 
 
 def evolve(lengths: list[int], capacity: int, immigrants: list[list[list[int]]], seed: int, population: int = 4, generations: int = 6) -> list[list[list[int]]]:
-    """The two best packings after some generations; it ends early when no packing can have fewer bins."""
+    """The two best packings after some generations (the one, if it can't be better); it ends early when no packing can have fewer bins."""
     rng, least = random.Random(seed), -(-sum(lengths) // capacity)
+    done = [x for x in immigrants if len(x) <= least]
+    if done:
+        return done[:1]
     falling = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     people = [*immigrants, best_fit(lengths, falling, capacity)]
-    score = lambda x: fitness(lengths, x, capacity)
-    people.sort(key=score, reverse=True)
-    if len(people[0]) > least:
+    if len(people[-1]) > least:
         while len(people) < population:  # falling order, with neighbours exchanged
             key = {i: -lengths[i] * rng.uniform(0.9, 1.1) for i in falling}
             people.append(best_fit(lengths, sorted(falling, key=key.get), capacity))
-        for _ in range(generations):
-            people.sort(key=score, reverse=True)
-            if len(people[0]) <= least:
-                break
-            child = crossover(lengths, *rng.sample(people[:3], 2), capacity, rng)
-            people = [*people[: population - 1], child]
-        people.sort(key=score, reverse=True)
-    return people[:2]
+    ranked = sorted(((fitness(lengths, x, capacity), k, x) for k, x in enumerate(people)), reverse=True)
+    for k in range(generations):
+        if -ranked[0][0][0] <= least:
+            break
+        child = crossover(lengths, *rng.sample([x for _, _, x in ranked[:3]], 2), capacity, rng)
+        ranked = sorted([*ranked[: population - 1], (fitness(lengths, child, capacity), len(people) + k, child)], reverse=True)
+    return [x for _, _, x in ranked[:2]]
 
 
 # ---- blocks and islands -------------------------------------------------------------------------------------------
