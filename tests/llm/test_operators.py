@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plumbline.llm import bpe, decontaminate, exact_dedup, language_id, packing, quotes, secret_scan, simhash, token_counts, token_store, url_filter
+from plumbline.llm import bpe, decontaminate, exact_dedup, language_id, near_copies, packing, quotes, secret_scan, simhash, token_counts, token_store, url_filter
 from plumbline.llm.components import components
 from plumbline.llm.shared import new_path
 
@@ -212,6 +212,48 @@ def test_links_against_brute_force(spark):
         assert edges.count() < (8 if block > 16 else 20) * len(a)
 
 
+def test_near_copies(spark, empty, clash):
+    """The pipeline's stage against brute force: planted copies on both sides of the bound, a hot cluster, null and repeated doc_ids."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(9999)}"
+    texts = [" ".join(word() for _ in range(rng.randrange(5, 300))) for _ in range(60)] + ["one two", "ONE\ttwo", "", None]
+
+    def edited(text, k):
+        words = text.split()
+        for _ in range(k):
+            words[rng.randrange(len(words))] = word()
+        return " ".join(words)
+
+    texts += [edited(t, k) for t in texts[:60] for k in (1, 3, 6)]
+    hot = " ".join(word() for _ in range(150))
+    texts += [edited(hot, rng.randrange(9)) for _ in range(600)]
+    ids = [None if k % 50 == 7 else 3 if k % 50 == 9 else k for k in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    near = lambda a, b: a == b or 10 * len(a & b) >= 8 * len(a | b)
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and near(sets[i], sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for k, g in enumerate(group):
+        best[g] = min(best.get(g, (True, 0)), (ids[k] is None, ids[k] or 0))
+    rows = near_copies.drop_near_copies(docs).collect()
+    assert len(rows) == len(best)
+    where = {t: g for t, g in zip(texts, group, strict=True)}
+    assert sorted((where[r["text"]], r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == sorted((g, *b) for g, b in best.items())
+    kept = near_copies.drop_near_copies(clash)
+    assert kept.columns == clash.columns and kept.filter("doc_id in (1, 2, 5)").count() == 0
+    assert near_copies.drop_near_copies(empty).count() == 0
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert stage(spark, docs, None).count() == len(best)
+
+
 def test_decontamination(spark, odd, empty, clash):
     items = ["one two three four five six seven eight nine ten eleven", "short item", None, "  ", "One, two THREE four five six seven eight nine ten eleven!", LONG[:2000]]
     bench = spark.createDataFrame([(k, t, "x") for k, t in enumerate(items)], "item_id long, text string, doc_id string")
