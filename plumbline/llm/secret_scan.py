@@ -1,6 +1,6 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame functions and Spark ML only.
 
-Candidates are long tokens with a digit, or long values behind a name such as password. Each is described by its length,
+Candidates are tokens of 12 characters or more with a digit, and any value assigned to a name such as password. Each is described by its length,
 kinds and transitions of characters, the share that dictionary words cover, the path it stands in and its neighbouring
 words; a forest trained on labelled findings decides whether it is a secret.
 """
@@ -18,16 +18,29 @@ DICTIONARY = ("access", "account", "admin", "and", "app", "auth", "build", "chan
 SPEAKS_FOR = ("password", "passwd", "pwd", "secret", "token", "api[_-]?key", "apikey", "access[_-]?key", "auth", "bearer", "credential", "private")
 SPEAKS_AGAINST = ("example", "sample", "dummy", "placeholder", "commit", "revision", "checksum", "digest", "md5", "sha1", "sha256", "uuid", "guid", "isbn", "version", "build", "id")
 TEST_PATH = "test|example|sample|fixture|mock|demo|doc"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{12,512}={0,2}(?![A-Za-z0-9+/_-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}(?![A-Za-z0-9+/_-])"
+#: A name that speaks for a secret, a sign or word of assignment, and the value: quoted, or up to white space without closing punctuation.
+ASSIGNED = r"(?i)(?:(?:" + "|".join(SPEAKS_FOR) + r""")(?:s|[_.-]?key|[_-][a-z0-9_-]*+)?["'\]]*\s*(?:=>|:=|==?|:|\sis\s)|bearer\s)\s*["']?((?<=")[^"\r\n]+(?=")|(?<=')[^'\r\n]+(?=')|[^\s"']*[^\s"',;.)\]}])"""
 NEAR = 40
 FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "kinds", "transitions", "distinct", "vowels", "hex", "runs", "words", "test_path", "speaks_for", "speaks_against", "assigned", "quoted")
 
 
+def matches(pattern: str, group: int) -> Column:
+    """finding, at (from 1) of each match in text; the group ends where the match does."""
+    whole, value = (F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (0, group))
+    ends = F.zip_with(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(whole)), whole, lambda a, b: F.length(a) + F.length(b))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("all"))
+    placed = F.aggregate(ends, start, lambda s, n: F.struct((s["end"] + n).alias("end"), F.concat(s["all"], F.array(s["end"] + n)).alias("all")))["all"]
+    return F.zip_with(value, placed, lambda v, end: F.struct(v.alias("finding"), (end - F.length(v) + 1).alias("at")))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, path, finding, before, after: each different candidate of a document once, at its first place."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter(F.col("text").rlike(CANDIDATE)).withColumn("finding", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))))
-    at = F.instr(F.col("text"), F.col("finding"))
+    rows = rows.filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED)).withColumn("all", F.concat(matches(CANDIDATE, 0), matches(ASSIGNED, 1)))
+    rows = rows.withColumn("finding", F.explode(F.array_distinct(F.col("all.finding"))))
+    rows = rows.withColumn("at", F.array_min(F.filter("all", lambda m: m["finding"] == F.col("finding"))["at"]))
+    at = F.col("at")
     before = F.substring(F.col("text"), F.greatest(at - NEAR, F.lit(1)), F.least(at - 1, F.lit(NEAR)))
     after = F.substring(F.col("text"), at + F.length("finding"), F.lit(NEAR))
     return rows.select("doc_id", "path", "finding", at.alias("at"), before.alias("before"), after.alias("after"))
@@ -80,6 +93,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> Dat
     after = F.concat(F.lit(" "), pick(5, DICTIONARY), F.lit(" "), pick(6, DICTIONARY))
     f = lambda finding, before, after, label: F.struct(finding.alias("finding"), before.alias("before"), after.alias("after"), F.lit(float(label)).alias("label"))
     plain = F.concat(filler, F.lit(" "))
+    assigned = F.concat(filler, F.lit(" "), name, pick(24, ("=", ": ")))
+    letters = F.regexp_replace(base64, "[^A-Za-z]", "")
     kinds = [
         f(F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)), plain, after, 1),
         f(F.concat(F.lit("AKIA"), F.substring(upper, 5, 16)), F.concat(filler, F.lit(" "), name, F.lit("=")), after, 1),
@@ -88,6 +103,14 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> Dat
         f(F.substring(base64, 1, 32), F.concat(filler, F.lit(" "), name, F.lit(": ")), after, 1),
         f(F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(base64, "[^A-Za-z0-9]", "x"), 1, 36)), plain, after, 1),
         f(F.substring(base64, 1, 40), F.concat(filler, F.lit(" bearer ")), after, 1),
+        f(F.regexp_replace(F.initcap(F.regexp_replace(words, "-", " ")), " ", ""), assigned, after, 1),
+        f(F.concat(F.substring(letters, 1, 5), F.lit("!"), F.substring(hexes, 1, 2), F.lit("$"), F.substring(letters, 6, 4), F.lit("@"), draw(17, 99).cast("string")), assigned, after, 1),
+        f(F.substring(base64, 1, 8), assigned, after, 1),
+        f(F.substring(letters, 1, 20), assigned, after, 1),
+        f(F.repeat(base64, 12), F.concat(filler, F.lit(" private_key=")), after, 1),
+        f(F.concat(F.substring(F.repeat(letters, 2), 1, 48), draw(18, 99999).cast("string")), assigned, after, 1),
+        f(pick(19, DICTIONARY), assigned, after, 0),
+        f(F.concat(F.lit("<"), words, F.lit(">")), assigned, after, 0),
         f(hex_at(40), F.concat(filler, F.lit(" commit ")), after, 0),
         f(hex_at(32), F.concat(filler, F.lit(" md5 checksum: ")), after, 0),
         f(hex_at(64), F.concat(filler, F.lit(" sha256 digest ")), after, 0),

@@ -389,6 +389,21 @@ def test_secret_scan(spark, odd, empty, clash):
     assert secret_scan.scan(empty, model).count() == 0
 
 
+def test_assigned_secrets(spark):
+    """One secret of each form behind a name: no digit, short, broken up by symbols, very long, a late first digit."""
+    rng = random.Random(3)
+    long = "".join(rng.choice("ABCDEFGHabcdefghijkmnopqrstuvwxyz0123456789+/") for _ in range(900))
+    late = "".join(rng.choice("ABCDEFGHabcdefghijkmnopqrstuvwxyz") for _ in range(47)) + "7391"
+    forms = ["CorrectHorseBatteryStaple", "h7Kq2x", "xKd!7$pQz@41", long, late]
+    texts = [f"list of h7Kq2xy items\npassword={x} and more" for x in forms] + [f'the list\n"db_password": "{x}", more' for x in forms] + ["the password: list of it"]
+    docs = spark.createDataFrame([(k, t, "src") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark))).collect()
+    got = {(r["doc_id"], r["at"], r["sha256"]): r["is_secret"] for r in rows}
+    for k, x in enumerate(forms * 2):
+        assert got[k, texts[k].rindex(x) + 1, hashlib.sha256(x.encode()).hexdigest()], x
+    assert not got[10, 15, hashlib.sha256(b"list").hexdigest()]
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1200)] + [(7, 7)] + [(5000, k) for k in range(5001, 5100)]
