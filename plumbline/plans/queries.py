@@ -476,6 +476,13 @@ def connected_components(spark, sf):
     return graph.connected_components(rows.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")))
 
 
+@query()
+def connected_components_all(spark, sf):
+    """connected_components without its filter: every supplier-part link. Recursive SQL would be too slow for it."""
+    rows = W.table(spark, sf, "lineitem")
+    return graph.connected_components(rows.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")))
+
+
 @query("""
 with recursive p as (select key, x, y from (select s_suppkey as key, s_acctbal / 50 as x, cast(s_nationkey as double) as y from supplier)),
 e as (select a.key as a, b.key as b from p a join p b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9.0),

@@ -203,3 +203,25 @@ def test_sampling(spark):
     far = sampling.farthest_pair(hull, ["g"]).first()["d"]
     assert far == pytest.approx(np.linalg.norm(p[:, None] - p[None], axis=2).max())
     assert set(sampling.hull_2d(p)) <= set(sampling.ball_pivot(p, 50.0))
+
+
+def test_connected_components_of_all_links(spark, tmp_path):
+    """The unfiltered query against union-find; the links are none that the filtered one takes."""
+    rng = np.random.default_rng(8)
+    links = [(int(a), int(b)) for a, b in rng.integers(1, 120, (90, 2))]
+    rows = [(a, b, 1.0, 0.0, 0.0) for a, b in links]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b + 1000000)
+        up[max(a, b)] = min(a, b)
+    from plumbline.plans.queries import QUERIES
+
+    got = {r["node"]: r["root"] for r in QUERIES["connected_components_all"](spark, str(tmp_path)).collect()}
+    assert got == {x: root(x) for x in up}
