@@ -225,3 +225,14 @@ def test_connected_components_of_all_links(spark, tmp_path):
 
     got = {r["node"]: r["root"] for r in QUERIES["connected_components_all"](spark, str(tmp_path)).collect()}
     assert got == {x: root(x) for x in up}
+
+
+def test_interpolated_totals_to_the_end(spark, tmp_path):
+    """A series of 2,000,000 s with y = x / 5000 has 401 steps; a single event has one."""
+    from plumbline.plans.more_queries import interpolated_totals_whole
+
+    at = [(1, 0, 0.0), (1, 1_200_000, 240.0), (1, 2_000_000, 400.0), (2, 50, 7.0)]
+    rows = spark.createDataFrame(at, "user_id long, s long, value double").selectExpr("user_id", "timestamp_seconds(1704067200 + s) as ts", "value", "s as event_id")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["id"]: (r["n"], r["total"]) for r in interpolated_totals_whole(spark, str(tmp_path)).collect()}
+    assert got == {1: (401, 401 * 200.0), 2: (1, 7.0)}
