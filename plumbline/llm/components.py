@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import new_path, remove, stored
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> node, root for every node with an edge; root is the smallest node of its component.
 
     Alternates large-star and small-star steps (Kiveris et al., Connected Components in MapReduce and Beyond). A step is a
     minimum for each node, summed up before the shuffle, and a join back that adaptive execution may split at a hub. Each
-    round is written to the shared folder. Nulls and self-links are dropped.
+    round is written to the shared folder and the round before it removed. Each round that isn't the last brings some node's
+    link closer to its root, so it ends. Nulls and self-links are dropped.
     """
-    state = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b").distinct(), "edges")
+    spark = edges.sparkSession
+    link = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    path = new_path(spark, "edges")
+    edges.select(*link).filter("a is not null and b is not null and a <> b").distinct().write.parquet(path)
     before = None
-    for _ in range(rounds):
+    while True:
+        state = spark.read.schema("a long, b long").parquet(path)
         now = tuple(state.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
         if now == before:
             break
@@ -27,8 +32,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        state = stored(small.filter("a <> b").distinct(), "edges")
-    else:
-        raise RuntimeError(f"components: not done after {rounds} rounds")
+        done, path = path, new_path(spark, "edges")
+        small.filter("a <> b").distinct().write.parquet(path)
+        remove(spark, done)
     roots = state.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def all_but_first(rows: DataFrame, edges: DataFrame, *name: str) -> DataFrame:
+    """rows (node, doc_id, two columns that name a row) -> the names, stored, of all rows but one of each component.
+
+    The row with the smallest doc_id stays (null last; of several the first by name). Rows of one node are a component
+    even without an edge. A hot node's rows are split by adaptive execution; firsts are summed up before the shuffle.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *name)
+    nodes = rows.groupBy("node").agg(F.min(first).alias("first"))
+    rooted = stored(nodes.join(components(edges), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    stays = rooted.groupBy("root").agg(F.min("first").alias("stays"))
+    judged = rows.select("node", *name).join(rooted.join(stays, "root").select("node", "stays"), "node")
+    stay = (F.col(name[0]) == F.col(f"stays.{name[0]}")) & (F.col(name[1]) == F.col(f"stays.{name[1]}"))
+    return stored(judged.filter(~stay).select(*name), "gone")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of two numbers that may go to every task (some 60 bytes each there); more are joined by shuffle.
+BROADCAST_ROWS = 1 << 18
+#: The paths that scratch() will remove.
+_made: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,7 +29,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is removed at the end: only for work whose result is written by then."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made.remove(made)
+        for path in made:
+            remove(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -33,3 +62,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows_told_apart(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns of long that name each row, and the columns' names: its file and its place there.
+
+    doc_ids may be null or repeat, so they can't name rows. A table read from Parquet files needs no work: a row's file
+    (as 64-bit hash of its path) and number in it stay the same however often and wherever it is read. What isn't plainly
+    such a table (made in memory, joined, with several formats) is written to the shared folder first.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    file, place = (next(n for k in range(len(docs.columns) + 1) if (n := f"{base}{k}") not in {c.lower() for c in docs.columns}) for base in ("row_file", "row_place"))
+    if node.nodeName() != "LogicalRelation" or not node.toString().rstrip().endswith("] parquet"):
+        path = new_path(docs.sparkSession, "rows")
+        docs.write.parquet(path)
+        docs = docs.sparkSession.read.schema(docs.schema).parquet(path)
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place)), file, place
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, *names: str) -> DataFrame:
+    """docs without the rows named in gone, whose columns names are no others; few go to every task, many are joined."""
+    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, list(names), "left_anti")
+
+
+def where_text(docs: DataFrame, judge) -> DataFrame:
+    """The rows of docs whose text judge() accepts, as they are; judge: () -> function of a text (None for null) -> bool.
+
+    judge() is called once for each task, where what it holds is loaded."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        accepts = judge()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):  # few texts at a time are held twice
+                part = batch.slice(a, 256)
+                yield part.filter(pa.array([accepts(t) for t in part.column(column).to_pylist()], pa.bool_()))
+
+    column = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)

@@ -2,11 +2,14 @@
 
 Links are found by comparing tiles of fingerprints with numpy exclusive-or and bit counts; tile pairs whose population
 counts differ by more than the radius can't hold a link and are skipped. Which fingerprints can meet in a tile is narrowed
-without loss: cut into radius + 1 bands, two fingerprints within the radius agree in one band at least.
+without loss: cut into radius + 3 pieces, two fingerprints within the radius agree in three pieces at least. So each goes to
+a table for each choice of three pieces (20 tables of 32 bits or so at radius 3), and meets those that agree there: some
+twenty in 10^11 fingerprints, where a single piece would bring together a share of all.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import stored
+from .components import all_but_first, components
+from .shared import rows_told_apart, stored, without_rows
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> list[int]:
@@ -34,7 +37,10 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42) -> list[int]:
 
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
     """A bit is 1 if it is set in over half of the hashes; 0 for a text without words."""
-    hashes = np.array(shingle_hashes(text, words, seed), dtype="<u8")
+    return simhash_of(np.array(shingle_hashes(text, words, seed), dtype="<u8"))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -43,16 +49,16 @@ def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the fingerprint as signed 64-bit number) for each row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as signed 64-bit number) for each row of docs (doc_id, text), and others, columns of long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([simhash(t if isinstance(t, str) else None, words, seed) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
+            yield batch.drop(columns="text").assign(fp=fps.view(np.int64))
 
-    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(run, "doc_id string, fp long").select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *others, F.col("text").cast("string").alias("text"))
+    return texts.mapInPandas(run, ", ".join(["doc_id string", *(f"{c} long" for c in others), "fp long"])).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 # ---- tiles --------------------------------------------------------------------------------------------------------
@@ -75,6 +81,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, tile: int = 512) -> tu
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
+        self.right = 0
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -88,29 +95,40 @@ class _Union:
         return i != j
 
 
-def unit_links(fps: np.ndarray, side: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a unit. side: 2 for one whole block; 0 and 1 are two blocks of a split group.
+def meet(left: np.ndarray, right: np.ndarray, radius: int, union: _Union, told) -> None:
+    """told(i, j) for each pair of places (of fingerprints sorted by population count) that joins what wasn't connected."""
+    for s in range(0, len(left), 512):
+        i, j = tile_links(left[s : s + 512], right, radius)
+        for x, y in zip((i + s).tolist(), j.tolist(), strict=True):
+            if union.join(x, y + union.right):
+                told(x, y)
+
+
+def inside_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, first fingerprint of its component) for what is linked within a block sorted by population count."""
+    union = _Union(len(fps))
+    meet(fps, fps, radius, union, lambda x, y: None)
+    root = np.array([union.root(k) for k in range(len(fps))])
+    linked = np.flatnonzero(root != np.arange(len(fps)))
+    return fps[linked], fps[root[linked]]
 
-    Each block of a split group is a unit of its own as well, so a pair of blocks only gives the links that connect what
-    isn't connected inside them: a dense group cut into many blocks gives few links for each pair.
-    """
-    order = np.argsort(np.bitwise_count(fps), kind="stable")
-    fps, side = fps[order], side[order]
-    union, out = _Union(len(fps)), []
-    blocks = [np.arange(len(fps))] if side[0] == 2 else [np.flatnonzero(side == k) for k in (0, 1)]
 
-    def meet(left: np.ndarray, right: np.ndarray, told: bool) -> None:
-        for s in range(0, len(left), 512):
-            i, j = tile_links(fps[left[s : s + 512]], fps[right], radius)
-            for x, y in zip(left[i + s].tolist(), right[j].tolist(), strict=True):
-                if x != y and union.join(x, y) and told:
-                    out.append((int(fps[x]), int(fps[y])))
+def cross_links(left: np.ndarray, left_roots: np.ndarray, right: np.ndarray, right_roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two blocks sorted by population count that connect what isn't connected inside them.
 
-    for block in blocks:
-        meet(block, block, len(blocks) == 1)
-    if len(blocks) == 2:
-        meet(*blocks, True)
-    return out
+    What is connected inside comes as roots, so no pair inside a block is compared again, and a dense group cut into many
+    blocks gives few links for each pair.
+    """
+    union = _Union(len(left) + len(right))
+    for at, roots in ((0, left_roots), (len(left), right_roots)):
+        _, first, own = np.unique(roots, return_index=True, return_inverse=True)
+        for k, f in enumerate(first[own].tolist()):
+            union.join(at + k, at + f)
+    union.right = len(left)
+    out: list[tuple[int, int]] = []
+    meet(left, right, radius, union, lambda x, y: out.append((x, y)))
+    i, j = np.array(out, np.int64).reshape(-1, 2).T
+    return left[i], right[j]
 
 
 def small_links(unit: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,57 +150,81 @@ def small_links(unit: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndar
 SMALL = 16
 
 
+def tables(radius: int, bits: int = 64) -> list[int]:
+    """Masks of three of radius + 3 pieces; two numbers at most radius bits apart agree under one of them."""
+    pieces = radius + 3
+    cuts = [k * bits // pieces for k in range(pieces + 1)]
+    whole = [(1 << b) - (1 << a) for a, b in itertools.pairwise(cuts)]
+    return [sum(three) for three in itertools.combinations(whole, 3)]
+
+
+def whole_units(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by keys, in frames that hold all rows of each key they have."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        told = rest[keys].to_numpy()
+        before = np.flatnonzero((told != told[-1]).any(axis=1)) if len(told) else []
+        if len(before):
+            cut = before[-1] + 1
+            yield rest.iloc[:cut].reset_index(drop=True)
+            rest = rest.iloc[cut:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def unit_numbers(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    told = rows[keys].to_numpy()
+    return np.concatenate(([0], np.cumsum((told[1:] != told[:-1]).any(axis=1))))
+
+
 def links(distinct: DataFrame, radius: int = 3, block: int = 4096) -> DataFrame:
     """distinct (fp) -> a, b: links that connect what is connected by pairs at most radius bits apart (not all pairs).
 
-    Groups of more than block fingerprints that agree in a band are dealt to blocks; each pair of blocks is a unit of its
-    own, so no task holds more than two blocks.
+    Groups of more than block fingerprints that agree under a mask are dealt to blocks. Each block is compared within itself
+    once, then each pair of blocks across, so no task holds more than two blocks.
     """
-    width = -(-64 // (radius + 1))
-    band = [F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1)).alias("bits")) for k in range(radius + 1) if k * width < 64]
-    rows = distinct.select("fp", F.explode(F.array(*band)).alias("g")).select("fp", "g.band", "g.bits")
-    sizes = rows.groupBy("band", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(sizes, ["band", "bits"])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = F.array(*(F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for k, m in enumerate(tables(radius))))
+    rows = distinct.select("fp", F.explode(masks).alias("g")).select("fp", "g.mask", "g.bits")
+    sizes = rows.groupBy("mask", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    units = rows.select("fp", "band", "bits", own.alias("own"), F.explode(pairs).alias("p"))
-    side = F.when(F.col("p.i") == F.col("p.j"), 2).when(F.col("own") == F.col("p.i"), 0).otherwise(1)
-    units = units.select("band", "bits", F.col("p.i").alias("i"), F.col("p.j").alias("j"), side.cast("int").alias("side"), "fp")
-    units = units.repartition("band", "bits", "i", "j").sortWithinPartitions("band", "bits", "i", "j", F.bit_count("fp"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-
-        def work(rows: pd.DataFrame) -> pd.DataFrame:
-            new = (rows[["band", "bits", "i", "j"]].to_numpy()[1:] != rows[["band", "bits", "i", "j"]].to_numpy()[:-1]).any(axis=1)
-            unit = np.concatenate(([0], np.cumsum(new)))
-            fps, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
-            size = np.bincount(unit)
-            small = size[unit] <= SMALL
-            small &= side == 2
+    rows = rows.join(sizes, ["mask", "bits"]).select("mask", "bits", blocks.alias("blocks"), F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int").alias("own"), "fp")
+    rows = stored(rows, "fingerprint-groups")
+    key = ["mask", "bits", "own"]
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for unit_rows in whole_units(batches, key):
+            unit, fps = unit_numbers(unit_rows, key), unit_rows["fp"].to_numpy().view(np.uint64)
+            small = (np.bincount(unit) <= SMALL)[unit] & (unit_rows["blocks"] == 1).to_numpy()
             i, j = small_links(unit[small], fps[small], radius)
-            found = [np.stack([fps[small][i], fps[small][j]], axis=1)] if len(i) else []
+            at = np.flatnonzero(small)
+            yield pd.DataFrame({"a": fps[small][i].view(np.int64), "b": fps[small][j].view(np.int64), **{k: unit_rows[k].to_numpy()[at[i]] for k in key}})
             for u in np.unique(unit[~small]):
-                a, b = np.searchsorted(unit, [u, u + 1])
-                if pairs := unit_links(fps[a:b], side[a:b], radius):
-                    found.append(np.array(pairs, dtype=np.uint64))
-            both = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-            return pd.DataFrame({"a": both[:, 0].copy().view(np.int64), "b": both[:, 1].copy().view(np.int64)})
-
-        for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            keys = rest[["band", "bits", "i", "j"]].to_numpy()
-            last = len(rest) - 1
-            before = np.flatnonzero((keys != keys[last]).any(axis=1))
-            if len(before):  # all units but the last are whole
-                cut = before[-1] + 1
-                yield work(rest.iloc[:cut].reset_index(drop=True))
-                rest = rest.iloc[cut:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield work(rest)
-
-    return units.select("band", "bits", "i", "j", "side", "fp").mapInPandas(run, "a long, b long")
+                lo, hi = np.searchsorted(unit, [u, u + 1])
+                a, b = inside_links(fps[lo:hi], radius)
+                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64), **{k: unit_rows[k].iloc[lo] for k in key}})
+
+    units = rows.repartition(*key).sortWithinPartitions(*key, F.bit_count("fp")).select(*key, "blocks", "fp")
+    within = stored(units.mapInPandas(inside, "a long, b long, mask int, bits long, own int"), "links")
+    once = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]  # a pair may be met under several masks
+    hot = rows.filter("blocks > 1")
+    if not hot.limit(1).count():
+        return within.select(*once).distinct()
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for unit_rows in whole_units(batches, ["mask", "bits", "i", "j"]):
+            for _, own in unit_rows.groupby(["mask", "bits", "i", "j"], sort=False):
+                fps, root, side = own["fp"].to_numpy().view(np.uint64), own["root"].to_numpy(), (own["own"] == own["j"]).to_numpy()
+                a, b = cross_links(fps[~side], root[~side], fps[side], root[side], radius)
+                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    rooted = hot.join(within.withColumnRenamed("a", "fp"), [*key, "fp"], "left").withColumn("root", F.coalesce("b", "fp"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("own"))
+    pairs = F.transform(others, lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    units = rooted.select("mask", "bits", "own", "fp", "root", F.explode(pairs).alias("p")).select("mask", "bits", "p.i", "p.j", "own", "fp", "root")
+    units = units.repartition("mask", "bits", "i", "j").sortWithinPartitions("mask", "bits", "i", "j", F.bit_count("fp"))
+    return within.select("a", "b").unionAll(units.mapInPandas(across, "a long, b long")).select(*once).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
@@ -202,7 +244,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; null doc_ids stay when they are alone."""
-    found = near_duplicates(docs, words, radius)
-    gone = stored(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component stays, the one with the smallest doc_id (null last; of several the first by place).
+
+    Rows are told apart by their place, so null and repeated doc_ids are judged like any other. Other columns stay as they
+    are; an empty table stays empty.
+    """
+    told, *name = rows_told_apart(docs)
+    rows = stored(fingerprints(told, words, others=tuple(name)).withColumnRenamed("fp", "node"), "fingerprints")
+    edges = links(rows.select(F.col("node").alias("fp")).distinct(), radius)
+    return without_rows(told, all_but_first(rows, edges, *name), *name).select(docs.columns)
