@@ -3,7 +3,8 @@
 Texts are equal when they are identical without white space. Each text has a 64-bit key. The directory of the index has
 2^depth slots, one for each prefix of depth bits; a bucket that holds more keys than its capacity is split by one more bit
 and the directory doubles when no spare bit is left. Owner tasks hold contiguous slot ranges and write their buckets to the
-shared folder. A key that several rows share is a chain: its rows are compared byte by byte with the best row of the chain,
+shared folder. A row finds its entry by its slot, the slot's bucket and its key there. A key that several rows share is a
+chain: only the texts of such rows are read again and moved; they are compared byte by byte with the best row of the chain,
 what differs starts the next link, and so on until no row is left, so that a collision of keys never merges two texts.
 """
 
@@ -14,10 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, stored
+from .shared import BROADCAST_ROWS, new_path, rows_told_apart, stored, without_rows
 
-#: A directory never has more slots, so that it may be broadcast; buckets get more room instead.
-MOST_SLOTS = 1 << 16
+#: The directory starts with slots enough for full buckets and doubles at most so often; keys that still agree in all of a
+#: slot's bits lengthen their bucket's chain, which only a key that isn't mixed well can bring about.
+MOST_DOUBLINGS = 16
+#: Bits of the filter that says which texts may share a key: 16 for each shared key, 32 MB to each task at most. Where there
+#: are more keys than that, more texts than need be are moved and joined; the result is the same.
+MOST_FILTER_BITS = 1 << 28
 #: The white space that doesn't count, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -26,123 +31,140 @@ def normal(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACE, "")
 
 
+def prefix(h: Column, depth: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
+
+
 def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
-    """keys (h, one row each) -> slots (slot, bucket, local_depth) and the directory's depth.
+    """keys (h, one row each) -> slots (slot, bucket, local_depth), stored, and the directory's depth.
 
-    A bucket's number is its first slot at full depth. Counts are summed up for prefixes first, so what the driver holds
-    is one row for each slot, at most MOST_SLOTS.
+    A bucket's number is its first slot at full depth. Keys are counted by prefix, summed up before the shuffle; only the
+    keys of overfull buckets are counted again when the directory doubles. Nothing but the depth reaches the driver.
     """
-    total = keys.count()
-    capacity = max(capacity, -(-4 * total // MOST_SLOTS))
-    finest = MOST_SLOTS.bit_length() - 1
-    prefix = F.shiftrightunsigned("h", 64 - finest)
-    counts = {r[0]: r[1] for r in keys.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
-    depth, buckets = 0, {(0, 0): total}  # (local depth, prefix) -> keys
+    start = max(0, -(-keys.count() // capacity) - 1).bit_length()
+    depth, left, done = start, keys, None
     while True:
-        full = [b for b, n in buckets.items() if n > capacity and b[0] < finest]
-        if not full:
+        counted = stored(left.groupBy(prefix(F.col("h"), depth).alias("p")).agg(F.count("*").alias("n")), "buckets")
+        last = depth in (64, start + MOST_DOUBLINGS)
+        fit = (counted if last else counted.filter(F.col("n") <= capacity)).select("p", F.lit(depth).alias("local_depth"))
+        done = fit if done is None else done.unionAll(fit)
+        full = counted.filter(F.col("n") > capacity).select(F.col("p").alias("full"))
+        if last or not full.limit(1).count():
             break
-        depth = max(depth, max(d for d, _ in full) + 1)  # the directory doubles
-        below = {(d + 1, 2 * p + half): 0 for d, p in full for half in (0, 1)}
-        for p, n in counts.items():
-            for d in {d for d, _ in full}:
-                if (k := (d + 1, p >> (finest - d - 1))) in below:
-                    below[k] += n
-        buckets = {b: n for b, n in buckets.items() if b not in set(full)} | below
-    slots = [(s, p << (depth - d), d) for d, p in buckets for s in range(p << (depth - d), (p + 1) << (depth - d))]
-    return keys.sparkSession.createDataFrame(sorted(slots), "slot long, bucket long, local_depth int"), depth
+        left = left.join(full, prefix(F.col("h"), depth) == F.col("full"), "left_semi")
+        depth += 1  # the directory doubles
+    slots = done.withColumn("bucket", F.expr(f"shiftleft(p, {depth} - local_depth)")).withColumn("slot", F.explode(F.expr(f"sequence(bucket, bucket + shiftleft(1L, {depth} - local_depth) - 1)")))
+    return stored(slots.select("slot", "bucket", "local_depth"), "directory"), depth
 
 
 @dataclass
 class HashIndex:
-    """slots: the directory. entries: h, bucket, keep_id, group_size, n_points, written in owner order."""
+    """slots: the directory. entries: h, bucket and what is known of each key, written in owner order."""
 
     path: str
     depth: int
     slots: DataFrame
     entries: DataFrame
 
-    def save(self) -> None:
-        self.slots.withColumn("depth", F.lit(self.depth)).coalesce(1).write.parquet(f"{self.path}/directory")
-
     @staticmethod
     def load(spark: SparkSession, path: str) -> HashIndex:
-        slots = spark.read.parquet(f"{path}/directory")
-        return HashIndex(path, slots.first()["depth"], slots.drop("depth"), spark.read.parquet(f"{path}/buckets"))
+        depth = spark.read.parquet(f"{path}/depth").first()["depth"]
+        return HashIndex(path, depth, spark.read.parquet(f"{path}/directory"), spark.read.parquet(f"{path}/buckets"))
 
-    def slot(self, h: Column) -> Column:
-        return F.shiftrightunsigned(h, 64 - self.depth) if self.depth else F.lit(0).cast("long")
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows (h, ...) with the bucket that their slot points to. A directory of few slots goes to every task."""
+        if not self.depth:
+            return rows.withColumn("bucket", F.lit(0).cast("long"))
+        slots = self.slots.select(F.col("slot").alias("own_slot"), "bucket")
+        small = (1 << self.depth) <= BROADCAST_ROWS
+        return rows.join(F.broadcast(slots) if small else slots, prefix(F.col("h"), self.depth) == F.col("own_slot")).drop("own_slot")
+
+    def lookup(self, rows: DataFrame) -> DataFrame:
+        """rows (h, ...) with their entries; a hot key's rows are split by adaptive execution."""
+        return self.placed(rows).join(self.entries, ["bucket", "h"])
 
 
 def build_index(keys: DataFrame, capacity: int = 4096) -> HashIndex:
-    """keys (h, keep_id, group_size, n_points), one row for each h -> the index in the shared folder."""
+    """keys (h, ...), one row for each h -> the index in the shared folder."""
     spark = keys.sparkSession
-    slots, depth = directory(keys, capacity)
-    index = HashIndex(new_path(spark, "hash-index"), depth, slots, keys)
+    slots, depth = directory(keys.select("h"), capacity)
+    path = new_path(spark, "hash-index")
+    slots.write.parquet(f"{path}/directory")
+    spark.range(1).select(F.lit(depth).alias("depth")).write.parquet(f"{path}/depth")
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = keys.withColumn("slot", index.slot(F.col("h"))).join(F.broadcast(slots.select("slot", "bucket")), "slot").drop("slot")  # MOST_SLOTS rows at most
-    routed.repartitionByRange(owners, "bucket", "h").sortWithinPartitions("bucket", "h").write.parquet(f"{index.path}/buckets")
-    index.entries = spark.read.parquet(f"{index.path}/buckets")
-    index.save()
-    return index
-
-
-def exact_dedup(docs: DataFrame, capacity: int = 4096, key=F.xxhash64) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each document (doc_id) of docs (doc_id, text).
-
-    Of equal texts the one with the most code points stays, then the smallest doc_id (null after all numbers). A null text
-    counts as empty; all empty texts are one group. Rows that repeat a doc_id with an equal text are the same document: one
-    row is returned and group_size counts it once; with a different text the doc_id has a row for each text. Other columns
-    are ignored; an empty table gives no rows. key: Column -> long; a weak one only makes longer chains.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"), normal(F.col("text")).alias("norm")).withColumn("h", key(F.col("norm")))
-    light = stored(rows.select("doc_id", "n_points", "h", F.sha2("norm", 256).alias("text_sha256")), "keys")
-    if light.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():  # repeated rows
-        light = stored(light.groupBy("doc_id", "h", "text_sha256").agg(F.max("n_points").alias("n_points")).select(*light.columns), "keys")
-
-    # the order in which rows stay, as a number that a hash aggregate can keep: code points, then small doc_id
+    routed = HashIndex(path, depth, slots, keys).placed(keys)
+    routed.repartitionByRange(owners, "bucket", "h").sortWithinPartitions("bucket", "h").write.parquet(f"{path}/buckets")
+    return HashIndex.load(spark, path)
+
+
+def may_share(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows whose h is in shared (h), and a few others, without a shuffle of rows: a bitmap by h goes to every task."""
+    wanted = 16 * shared.count()
+    bits = min(MOST_FILTER_BITS, max(1 << 15, 1 << wanted.bit_length()))
+    at = F.pmod(F.col("h"), F.lit(bits))
+    block, bit = F.shiftright(at, 15), at.bitwiseAND(F.lit((1 << 15) - 1))
+    bitmap = shared.groupBy(block.alias("own_block")).agg(F.bitmap_construct_agg(bit).alias("own_bits"))  # 4 kB for each 2^15 bits
+    byte = F.conv(F.hex(F.substring(F.col("own_bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return rows.join(F.broadcast(bitmap), block == F.col("own_block")).filter(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("own_block", "own_bits")
+
+
+def judged(rows: DataFrame, capacity: int, key) -> DataFrame:
+    """rows (doc_id, text, ...) -> doc_id, the other columns, keep_id, group_size, kept, text_sha256."""
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    raw = F.coalesce("text", F.lit(""))
+    # the order in which rows stay, as a number that a hash aggregate can keep: code points, then small doc_id, then a
+    # hash of the text as it stands
     wide = lambda c: c.cast("decimal(38,0)")
-    shift, last = wide(F.lit(str(1 << 64))), wide(F.lit((1 << 63) - 1))
-    order = wide(wide(F.col("n_points")) * shift + (last - wide(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)))))
-    id_of = lambda c: F.when((last - F.pmod(c, shift)) < last, (last - F.pmod(c, shift)).cast("long"))
-    keys = light.groupBy("h").agg(F.count("*").alias("group_size"), F.max(order).alias("best"), F.max("n_points").alias("n_points"))
-    keys = keys.select("h", id_of(F.col("best")).alias("keep_id"), "group_size", "n_points")
-    keys = stored(keys, "key-groups")
-    index = build_index(keys, capacity)
+    power = lambda k: wide(F.lit(str(1 << k)))
+    order = wide(wide(F.length(raw)) * power(95) + wide(wide(F.lit((1 << 63) - 1)) - wide(F.coalesce("doc_id", F.lit((1 << 63) - 1)))) * power(31) + wide(F.pmod(F.xxhash64(raw), F.lit(1 << 31))))
+    keyed = rows.withColumn("order", order).withColumn("norm", normal(F.col("text"))).withColumn("h", key(F.col("norm")))
+    light = stored(keyed.select("doc_id", "order", "h", F.unhex(F.sha2("norm", 256)).alias("digest"), F.monotonically_increasing_id().alias("row"), *others), "keys")
+
+    summed = [F.count("*").alias("group_size"), F.max_by("doc_id", "order").alias("keep_id"), F.max_by("row", "order").alias("keep_row"), F.max("order").alias("best")]
+    index = build_index(stored(light.groupBy("h").agg(*summed), "key-groups"), capacity)
+    answer = index.lookup(light)
 
     # chains: only rows whose key is shared carry their bytes on. The joins with one row for each key are split by
     # adaptive execution where a key is hot; no step gathers a key's rows in one task
-    shared = index.entries.filter("group_size > 1").select("h", "keep_id")
-    chain = stored(rows.join(shared, "h"), "chain").withColumn("best", F.struct(order.alias("o"), F.col("norm").alias("norm")))
-    heads = stored(chain.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.max("best.norm").alias("first")), "heads")
+    shared = index.entries.filter("group_size > 1").select("h", "best")
+    chain = stored(may_share(keyed.select("h", "norm", "order"), shared).join(shared, "h"), "chain")
+    heads = chain.filter(F.col("order") == F.col("best")).groupBy("h").agg(F.max("norm").alias("first"))
     moved = None
-    for link in range(1, 1 << 20):
-        other = stored(chain.join(heads, "h").filter("norm <> first").select("h", "doc_id", "norm", "best"), "chain")
-        if not other.limit(1).count():
+    while True:
+        # rows equal to the first row of this link leave the chain; the best of the others heads the next link
+        chain = stored(chain.join(heads, "h").filter("norm <> first").select("h", "norm", "order"), "chain")
+        if not chain.limit(1).count():
             break
-        # rows equal to the first row of this link have left the chain; the best of the others heads the next link
-        best = stored(other.groupBy("h").agg(F.max("best").alias("b")).select("h", F.col("b.norm").alias("first"), F.col("b.o").alias("head")), "heads")
-        part = other.join(best, "h").filter("norm = first").select("h", "doc_id", F.sha2("norm", 256).alias("text_sha256"), "head", F.lit(link).alias("link"))
-        moved = part if moved is None else moved.unionAll(part)
-        chain, heads = other, best.select("h", "first")
-    answer = light.join(index.entries.select("h", "keep_id", "group_size"), "h")
-    if moved is not None:
-        moved = stored(moved.distinct(), "moved")
-        own = moved.groupBy("h", "text_sha256", "link", "head").agg(F.count("*").alias("own_size"))
-        own = own.select("h", "text_sha256", "link", id_of(F.col("head")).alias("own_keep"), "own_size")
-        gone = own.groupBy("h").agg(F.sum("own_size").alias("gone"))
-        answer = answer.join(gone, "h", "left").join(own, ["h", "text_sha256"], "left")
-        answer = answer.withColumn("keep_id", F.when(F.col("link").isNull(), F.col("keep_id")).otherwise(F.col("own_keep")))
-        answer = answer.withColumn("group_size", F.when(F.col("link").isNull(), F.col("group_size") - F.coalesce("gone", F.lit(0))).otherwise(F.col("own_size")))
-    return answer.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        heads = stored(chain.groupBy("h").agg(F.max(F.struct("order", "norm")).alias("b")).select("h", F.col("b.norm").alias("first")), "heads")
+        apart = heads.select("h", F.unhex(F.sha2("first", 256)).alias("digest"))
+        moved = apart if moved is None else moved.unionAll(apart)
+    columns = ["doc_id", *others, "keep_id", "group_size", "row", "keep_row", "digest"]
+    if moved is not None:  # keys with several texts: their rows are summed up by text
+        several = stored(moved.select("h").distinct(), "collisions")
+        mixed = light.join(several, "h")
+        own = mixed.groupBy("h", "digest").agg(*summed)
+        answer = answer.join(several, "h", "left_anti").select(columns).unionAll(mixed.join(own, ["h", "digest"]).select(columns))
+    kept = F.col("row") == F.col("keep_row")
+    return answer.select("doc_id", *others, "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def exact_dedup(docs: DataFrame, capacity: int = 4096, key=F.xxhash64) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text).
+
+    Of equal texts the one with the most code points stays, then the smallest doc_id (null after all numbers). A null text
+    counts as empty; all empty texts are one group. Every row counts and gives a row, also those with a null or a repeated
+    doc_id; in each group exactly one row is kept, of rows that agree in doc_id and code points one by a hash of its text.
+    Other columns are ignored; an empty table gives no rows. key: Column -> long; a weak one only makes longer chains.
+    """
+    return judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), capacity, key)
 
 
 def drop_copies(docs: DataFrame, capacity: int = 4096) -> DataFrame:
-    """docs without the documents that exact_dedup doesn't keep; of rows that repeat a doc_id and text one stays."""
-    found = stored(exact_dedup(docs, capacity), "dedup")
-    kept = docs.join(found.filter("not kept").select("doc_id").filter("doc_id is not null"), "doc_id", "left_anti").select(docs.columns)
-    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    """docs without the rows that exact_dedup doesn't keep: of each group of equal texts one row stays, with all its columns.
+
+    Rows are told apart by their place, not by doc_id, so null and repeated doc_ids lose nothing but copies.
+    """
+    told, *name = rows_told_apart(docs)
+    found = judged(told.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *name), capacity, F.xxhash64)
+    gone = stored(found.filter("not kept").select(*name), "copies")
+    return without_rows(told, gone, *name).select(docs.columns)
