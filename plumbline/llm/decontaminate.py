@@ -9,6 +9,7 @@ by exact containment of the shingles themselves.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, where_text
 
 #: ASCII punctuation and controls separate words.
 APART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -30,20 +31,23 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """The size partitions of some items, small enough for each task. items: (item_id, text)."""
+    """The size partitions of some items, small enough for each task. items: (item_id, text) or (item_id, text, copies)."""
 
-    def __init__(self, items: list[tuple[int, str | None]], words: int = 5, threshold: float = 0.8):
+    def __init__(self, items: list[tuple], words: int = 5, threshold: float = 0.8):
         self.words, self.threshold = words, threshold
         self.vocabulary: dict[bytes, int] = {}
-        classes: dict[frozenset, list[int]] = defaultdict(list)
-        self.short: dict[tuple, list[int]] = defaultdict(list)  # items of fewer words: one shingle of their own length
-        for item_id, text in items:
+        classes: dict[frozenset, list[tuple]] = defaultdict(list)
+        short: dict[tuple, list[tuple]] = defaultdict(list)  # items of fewer words: one shingle of their own length
+        for item_id, text, *copies in items:
+            item = (item_id, *(copies or [1]))
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             if len(ids) >= words:
-                classes[frozenset(zip(*(ids[k:] for k in range(words)), strict=False))].append(item_id)
+                classes[frozenset(zip(*(ids[k:] for k in range(words)), strict=False))].append(item)
             elif ids:
-                self.short[tuple(ids)].append(item_id)
-        self.items = [(min(ids), len(ids), shingles) for shingles, ids in classes.items()]
+                short[tuple(ids)].append(item)
+        one = lambda own: (min((i for i, _ in own if i is not None), default=None), sum(n for _, n in own))
+        self.short = {shingle: one(own) for shingle, own in short.items()}
+        self.items = [(*one(own), shingles) for shingles, own in classes.items()]
         sketch: dict[int, list[int]] = defaultdict(list)
         self.partition = []
         for place, (_, _, shingles) in enumerate(self.items):
@@ -74,7 +78,7 @@ class Index:
             known, row = set(), ids.tolist()
             for n in {len(x) for x in self.short}:
                 known.update(x for x in zip(*(row[k:] for k in range(n)), strict=False) if x in self.short)
-            out += [(min(self.short[x]), 1.0, 1, 1, len(self.short[x])) for x in known]
+            out += [(item_id, 1.0, 1, 1, copies) for item_id, copies in map(self.short.get, known)]
         n = len(ids) - self.words + 1
         if n < 1 or not len(self.table):
             return out
@@ -100,39 +104,71 @@ class Index:
         return out
 
 
+def classes(benchmark: DataFrame, words: int) -> DataFrame:
+    """item_id, text, copies: one row for all items (item_id, text) with the same shingles; item_id is the smallest, null if all are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = []
+            for text in batch["text"]:
+                parts = words_of(text)
+                shingles = {b" ".join(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))} if parts else set()
+                keys.append(hashlib.blake2b(b"\n".join(sorted(shingles)), digest_size=16).digest())
+            yield batch.assign(key=keys)
+
+    items = benchmark.select(F.col("item_id").cast("long").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    keyed = items.mapInPandas(run, "item_id string, text string, key binary").withColumn("item_id", F.col("item_id").cast("long"))
+    return keyed.groupBy("key").agg(F.min("item_id").alias("item_id"), F.min("text").alias("text"), F.count("*").alias("copies")).select("key", "item_id", "text", "copies")
+
+
+def indexes(benchmark: DataFrame, words: int, threshold: float, block_bytes: int) -> list:
+    """Broadcasts of an Index each, for blocks of about block_bytes of text; items with the same shingles are in one block."""
+    items = stored(classes(benchmark, words), "items")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    out = []
+    for block in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("item_id", "text", "copies")  # about block_bytes
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], words, threshold)))
+    return out
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, containment, found, shingles, copies: the items of benchmark (item_id, text) that docs (doc_id, text) contain.
 
-    Items with the same shingles are one class, named by its smallest item_id; copies is their number. An item of fewer
-    words is one shingle of its own length; items and documents without words (null, empty) match nothing; rows that
-    repeat a doc_id each give their rows; other columns are ignored. The items are shipped to all tasks in blocks of about
-    block_bytes of text, one pass over docs each, so that the index a task holds is bounded whatever the benchmark's size.
+    Items with the same shingles are one class, named by its smallest item_id (null if all are null); copies is their
+    number. An item of fewer words is one shingle of its own length; items and documents without words (null, empty) match
+    nothing; rows that repeat a doc_id each give their rows; other columns are ignored. The items are shipped to all tasks
+    in blocks of about block_bytes of text, one pass over docs each, so that the index a task holds is bounded whatever the
+    benchmark's size.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id string, item_id long, containment double, found long, shingles long, copies long"
+    schema = "doc_id string, item_id string, containment double, found long, shingles long, copies long"
     out = None
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)  # a block: about block_bytes of text
-        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], words, threshold))
+    for index in indexes(benchmark, words, threshold, block_bytes):
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             search = index.value.search
             for batch in batches:
-                rows = [(d, *x) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for x in search(t if isinstance(t, str) else None)]
+                rows = [(d, None if x[0] is None else str(x[0]), *x[1:]) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for x in search(t if isinstance(t, str) else None)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "containment", "found", "shingles", "copies"])
 
         one = texts.mapInPandas(run, schema)
         out = one if out is None else out.unionAll(one)
-    out = out.withColumn("doc_id", F.col("doc_id").cast("long"))
-    if blocks > 1:  # texts that differ but have the same shingles may be in two blocks
-        out = out.groupBy("doc_id", "found", "shingles", "containment", "item_id").agg(F.max("copies").alias("copies")).select("doc_id", "item_id", "containment", "found", "shingles", "copies")
-    return out
+    return out.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
+
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+    """docs without the rows whose text contains a benchmark item, whatever the item's id.
+
+    Each row is judged by its own text, whatever its doc_id (null and repeated ones too), in one pass without a shuffle;
+    all columns stay as they are; null and empty texts stay; an empty table on either side drops nothing.
+    """
+    for index in indexes(benchmark, words, threshold, block_bytes):
+
+        def judge(index=index):
+            search = index.value.search
+            return lambda text: not search(text)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs without the documents that contain a benchmark item; documents with a null doc_id are kept."""
-    leaks = stored(contained_items(docs, benchmark, words, threshold).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+        docs = where_text(docs, judge)
+    return docs
