@@ -2,7 +2,8 @@
 
 Both vocabularies split a text before merging, and no split crosses from a non-space character to a following ASCII
 whitespace character. So the ids of a text are those of its units (whitespace, then other characters) one after the other,
-and a unit that was met before needs no second encoding. Texts with other kinds of white space go to the library whole.
+and a unit that was met before needs no second encoding. Texts with other kinds of white space, and texts in which one of
+the vocabularies' special tokens may stand, go to the library whole.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ SPLIT = {
 }
 #: White space (or what a library may count as such) beyond [\x20\x09-\x0D].
 ODD = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
+#: What each special token of the two vocabularies begins with.
+SPECIAL = "<|"
+#: A unit of Latin letters (one piece by the rules above) with closing punctuation, which is a piece of its own.
+PLAIN = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
 UNIT = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
 
 
@@ -41,7 +46,6 @@ class UnitEncoder(dict):
     def __init__(self, path: str, kind: str, width: int = 4, units: int = 600_000, pieces: int = 400_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind, self.code, self.units, self.most_pieces = kind, {2: "H", 4: "I"}[width], units, pieces
         self.split, self.model, self.pieces = regex.compile(SPLIT[kind]), self.tokenizer.model, {}
         self.letters = byte_letters()
@@ -52,7 +56,18 @@ class UnitEncoder(dict):
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def piece(self, text: str) -> bytes:
+        spelled = text.encode().decode("latin-1").translate(self.letters)
+        return self.pack([t.id for t in self.model.tokenize(spelled)])
+
     def __missing__(self, unit: bytes) -> bytes:
+        if plain := PLAIN.fullmatch(unit):
+            if plain[2]:
+                ids = self[plain[1]] + self[plain[2]]
+            else:
+                text = unit.decode()
+                ids = self.piece(text if self.kind == "byte" else unicodedata.normalize("NFC", text).lower())
+            return self.keep(unit, ids)
         text = unit.decode()
         if ODD.search(text):
             raise _Odd
@@ -65,12 +80,14 @@ class UnitEncoder(dict):
                 if ids is None:
                     if len(known) >= self.most_pieces:
                         known.clear()
-                    spelled = piece.encode().decode("latin-1").translate(self.letters)
-                    ids = known[piece] = self.pack([t.id for t in self.model.tokenize(spelled)])
+                    ids = known[piece] = self.piece(piece)
                 found.append(ids)
             ids = b"".join(found)
         else:
             ids = self.whole(text)
+        return self.keep(unit, ids)
+
+    def keep(self, unit: bytes, ids: bytes) -> bytes:
         if len(unit) < 200:
             if len(self) >= self.units:
                 self.clear()
@@ -81,6 +98,8 @@ class UnitEncoder(dict):
         """The packed ids of a text; null counts as empty."""
         if not text:
             return b""
+        if SPECIAL in text:
+            return self.whole(text)
         data = text.encode()
         try:
             return b"".join(map(self.__getitem__, data.split() if self.kind == "word" else UNIT.findall(data)))

@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents into fixed-length sequences by a grouping genetic algorithm on islands.
 
 A chromosome is a list of bins, each a list of pieces. Crossover injects whole well-filled bins of one parent into the
-other, removes bins that now hold a piece twice, and best-fits the displaced pieces. Pieces are dealt to blocks of a few
+other, removes bins that now hold a piece twice, and fits the displaced pieces in: first in place of smaller ones where that
+fills a bin better (Falkenauer's replacement), then by best fit. Pieces are dealt to blocks of a few
 thousand by hash; each block is evolved by several islands, between epochs the best packings migrate to the next island,
 and the best packing of all islands stays. Bins that stay badly filled are opened and packed again with those of other blocks.
 """
@@ -45,8 +46,52 @@ def fitness(lengths: list[int], bins: list[list[int]], capacity: int) -> tuple[i
     return -len(bins), sum((sum(map(length, b)) / capacity) ** 2 for b in bins)
 
 
-def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Well-filled bins of b go into a whole; bins of a with a piece of theirs are opened and their other pieces best-fitted."""
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """No packing has fewer bins (Martello and Toth's bound L2)."""
+    number = np.bincount(np.asarray(lengths, np.int64), minlength=capacity + 1)
+    count, total = (np.concatenate(([0], np.cumsum(x))) for x in (number, number * np.arange(capacity + 1)))  # of lengths below n
+    half, small = capacity // 2 + 1, np.arange(capacity // 2 + 1)
+    halves = count[capacity + 1] - count[half]  # no two of these share a bin
+    large = capacity - small + 1  # nothing of length small or more fits beside these
+    room = (count[large] - count[half]) * capacity - (total[large] - total[half])
+    more = -(-(total[half] - total[small] - room) // capacity)
+    return int((halves + np.maximum(0, more)).max())
+
+
+def replace(lengths: list[int], bins: list[list[int]], pieces: list[int], capacity: int) -> list[int]:
+    """Put pieces, the longest first, in place of one or two shorter ones of a bin where they fill it best.
+
+    Changes bins and returns the pieces that have no place then. Each place taken leaves less room, so it ends.
+    """
+    room = [capacity - sum(lengths[i] for i in b) for b in bins]
+    todo, without = sorted(pieces, key=lengths.__getitem__), []
+    while todo:
+        piece = todo.pop()
+        n, best = lengths[piece], (capacity, 0, ())
+        for k, b in enumerate(bins):
+            if r := room[k]:
+                for x, i in enumerate(b):
+                    if 0 < (more := n - lengths[i]) <= r and r - more < best[0]:
+                        best = (r - more, k, (i,))
+                    for j in b[:x]:
+                        if 0 < (more := n - lengths[i] - lengths[j]) <= r and r - more < best[0]:
+                            best = (r - more, k, (i, j))
+                if not best[0]:
+                    break
+        left, k, gone = best
+        if gone:
+            bins[k], room[k] = [*(i for i in bins[k] if i not in gone), piece], left
+            for i in gone:
+                bisect.insort(todo, i, key=lengths.__getitem__)
+        else:
+            without.append(piece)
+    return without
+
+
+def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capacity: int, rng: random.Random, loose: int = 32, tried: int = 128) -> list[list[int]]:
+    """Well-filled bins of b go into a whole; bins of a with a piece of theirs are opened and their other pieces fitted in.
+
+    The least filled bins are opened too; the displaced pieces may take places in the loose least filled of the others."""
     length = lengths.__getitem__
     good = [x for x in b if sum(map(length, x)) >= 0.99 * capacity]
     injected = rng.sample(good, max(1, len(good) // 3)) if good else []
@@ -57,17 +102,23 @@ def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capaci
             kept.append(x)
         else:
             displaced += [i for i in x if i not in taken]
-    # the least filled bins are opened too, so that the displaced pieces find partners
     kept.sort(key=lambda x: -sum(map(length, x)))
-    opened = max(1, len(kept) // 20) if kept else 0
+    opened = max(1, len(kept) // 10) if kept else 0
     displaced += [i for x in kept[len(kept) - opened :] for i in x]
+    kept = kept[: len(kept) - opened]
+    first = max(0, len(kept) - loose)
     displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(lengths, displaced, capacity, kept[: len(kept) - opened] + injected)
+    last = [list(x) for x in kept[first:]]
+    rest = displaced[tried:] + replace(lengths, last, displaced[:tried], capacity)  # the longest; the others are best-fitted
+    return best_fit(lengths, sorted(rest, key=lambda i: -lengths[i]), capacity, kept[:first] + last + injected)
 
 
-def evolve(lengths: list[int], capacity: int, immigrants: list[list[list[int]]], seed: int, population: int = 4, generations: int = 6) -> list[list[list[int]]]:
-    """The two best packings after some generations (the one, if it can't be better); it ends early when no packing can have fewer bins."""
-    rng, least = random.Random(seed), -(-sum(lengths) // capacity)
+def evolve(lengths: list[int], capacity: int, immigrants: list[list[list[int]]], seed: int, population: int = 4, patience: int = 4, generations: int = 60) -> list[list[list[int]]]:
+    """The two best packings after some generations (the one, if it can't be better).
+
+    It ends when no packing can have fewer bins, or when so many generations in a row (patience) gave no better packing.
+    """
+    rng, least = random.Random(seed), least_bins(lengths, capacity)
     done = [x for x in immigrants if len(x) <= least]
     if done:
         return done[:1]
@@ -78,11 +129,14 @@ def evolve(lengths: list[int], capacity: int, immigrants: list[list[list[int]]],
             key = {i: -lengths[i] * rng.uniform(0.9, 1.1) for i in falling}
             people.append(best_fit(lengths, sorted(falling, key=key.get), capacity))
     ranked = sorted(((fitness(lengths, x, capacity), k, x) for k, x in enumerate(people)), reverse=True)
+    idle = 0
     for k in range(generations):
-        if -ranked[0][0][0] <= least:
+        best = ranked[0][0]
+        if -best[0] <= least or idle >= patience:
             break
         child = crossover(lengths, *rng.sample([x for _, _, x in ranked[:3]], 2), capacity, rng)
         ranked = sorted([*ranked[: population - 1], (fitness(lengths, child, capacity), len(people) + k, child)], reverse=True)
+        idle = 0 if ranked[0][0] > best else idle + 1
     return [x for _, _, x in ranked[:2]]
 
 

@@ -12,6 +12,7 @@ select(i) reads a short stretch of the unary part. Nothing holds a 64-bit entry
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ MAGIC = b"EFTOKEN1"
 HEAD = struct.Struct("<IQQQq")
 EF_HEAD = struct.Struct("<QQBIII")
 EVERY = 256
+#: Values that are unpacked at a time.
+BLOCK = 1 << 13
 
 
 def ef_encode(values: np.ndarray) -> bytes:
@@ -37,7 +40,11 @@ def ef_encode(values: np.ndarray) -> bytes:
     values = np.asarray(values, dtype=np.uint64)
     n, top = len(values), int(values[-1]) if len(values) else 0
     low = max(0, (top // n).bit_length() - 1) if n else 0
-    lows = np.packbits(((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") if low and n else np.zeros(0, np.uint8)
+    lows = np.zeros((n * low + 7) // 8, np.uint8)
+    for a in range(0, n if low else 0, BLOCK):  # BLOCK values make whole bytes
+        bits = (values[a : a + BLOCK, None] >> np.arange(low, dtype=np.uint64)).astype(np.uint8) & 1
+        packed = np.packbits(bits.ravel(), bitorder="little")
+        lows[a * low // 8 :][: len(packed)] = packed
     places = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
     bits = np.zeros((int(places[-1]) + 1) if n else 0, np.uint8)
     bits[places] = 1
@@ -71,11 +78,17 @@ class EliasFano:
             place, left = (at + int(ones[step - 1]), left - step) if step else (((at >> 3) + 64) * 8 - 1, left)
         return (place - i) << self.low | (self._low(i) if self.low else 0)
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        values = (places - np.arange(self.n)) << self.low
-        if self.low and self.n:
-            bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
+    def selected(self, a: int, b: int) -> np.ndarray:
+        """The values from the a-th up to before the b-th: the place of the a-th is selected, the others follow it."""
+        if a >= b:
+            return np.zeros(0, np.int64)
+        first = (self.select(a) >> self.low) + a
+        last = (self.select(b - 1) >> self.low) + b - 1
+        places = np.flatnonzero(np.unpackbits(self.highs[first >> 3 : (last >> 3) + 1], bitorder="little")[first & 7 :])[: b - a] + first
+        values = (places - np.arange(a, b)) << self.low
+        if self.low:
+            start, end = a * self.low, b * self.low
+            bits = np.unpackbits(self.lows[start >> 3 : (end + 7) >> 3], bitorder="little")[start & 7 :][: end - start].reshape(b - a, self.low)
             values = values + bits.astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
         return values.astype(np.int64)
 
@@ -108,17 +121,20 @@ class Shard:
         a, b = self.bounds(i)
         return self.array[a:b]
 
-    def doc_ids(self) -> list:
-        return [None] * self.n_null + [int(x) + self.first for x in self.docs.all()]
+    def doc_ids(self, a: int, b: int) -> list:
+        """Of the documents from the a-th up to before the b-th."""
+        known = self.docs.selected(max(0, a - self.n_null), max(0, b - self.n_null))
+        return [None] * (b - a - len(known)) + [int(x) + self.first for x in known]
 
 
-def write_store(docs: DataFrame, folder: str, vocabulary: str, kind: str = "word", end_id: int = 2, width: int = 2, shard_ids: int = 1 << 25) -> DataFrame:
+def write_store(docs: DataFrame, folder: str, vocabulary: str, kind: str = "word", end_id: int = 2, width: int = 2, shard_ids: int = 1 << 25, shard_docs: int = 1 << 20) -> DataFrame:
     """Write the ids of docs (doc_id, text) to token-id files in folder, in ascending doc_id order.
 
     Returns the manifest: file, part, number, n_docs, n_ids, base (ids in all files before). Null texts count as empty;
     a document with no ids still gets end_id; rows with a null doc_id come first; rows that repeat a doc_id stay side by
     side; other columns are ignored; an empty table makes an empty manifest. A task writes a file under a name of its own
     attempt and renames it, so a task that runs twice leaves one whole file. width: bytes of an id, 2 or 4.
+    A file ends after shard_ids ids or shard_docs documents, which bounds what a task holds.
     """
     spark = docs.sparkSession
 
@@ -148,7 +164,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, kind: str = "word
                 state["docs"].append(None if pd.isna(doc_id) else int(doc_id))
                 state["ends"].append(state["ends"][-1] + len(ids) // width)
                 state["ids"].append(ids)
-                if state["ends"][-1] >= shard_ids:
+                if state["ends"][-1] >= shard_ids or len(state["docs"]) >= shard_docs:
                     yield flush()
         if state["docs"]:
             yield flush()
@@ -162,7 +178,10 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, kind: str = "word
 
 
 def read_store(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone (base: from the manifest)."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone (base: from the manifest).
+
+    Boundaries and doc_ids come by select, a block of documents at a time; no table of all offsets is made.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -170,11 +189,11 @@ def read_store(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFra
             for name, base in zip(batch["file"], batch["base"], strict=True):
                 with fs.open_input_file(f"{root}/{name}") as f:
                     shard = Shard(f.read())
-                ends, doc_ids = shard.ends.all(), shard.doc_ids()
-                for a in range(0, shard.n_docs, 10_000):
-                    b = min(shard.n_docs, a + 10_000)
-                    crc = [zlib.crc32(shard.array[i:j].astype("<u4").tobytes()) for i, j in zip(ends[a:b], ends[a + 1 : b + 1], strict=True)]
-                    yield pd.DataFrame({"doc_id": pd.array(doc_ids[a:b], dtype="Int64"), "start": ends[a:b] + base, "n_tokens": np.diff(ends[a : b + 1]), "ids_crc32": crc})
+                for a in range(0, shard.n_docs, BLOCK):
+                    b = min(shard.n_docs, a + BLOCK)
+                    ends = shard.ends.selected(a, b + 1)
+                    crc = [zlib.crc32(shard.array[i:j].astype("<u4").tobytes()) for i, j in itertools.pairwise(ends.tolist())]
+                    yield pd.DataFrame({"doc_id": pd.array(shard.doc_ids(a, b), dtype="Int64"), "start": ends[:-1] + base, "n_tokens": np.diff(ends), "ids_crc32": crc})
 
     files = manifest.count()
     return manifest.select("file", "base").repartition(max(1, files)).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
