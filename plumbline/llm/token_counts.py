@@ -8,23 +8,35 @@ Totals are the sum of all deltas; compaction replaces deltas by one snapshot of
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
+
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
-#: What counts as a token, by tokenizer version.
-PATTERNS = {
-    "words-1": r"[^\x20\x09-\x0D]+",
-    "pieces-1": r"[0-9]+|[^\x20\x09-\x0D0-9]+",
-    "pieces-1-digits": r"[0-9]|[^\x20\x09-\x0D0-9]+",
-}
 
 
-def count_tokens(text: Column, tokenizer: str) -> Column:
-    """Tokens of a text by a tokenizer version; a null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(PATTERNS[tokenizer])).cast("long"), F.lit(0).cast("long"))
+def with_counts(docs: DataFrame, tokenizers: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """doc_id, source, lang of docs (doc_id, text, source, lang) and a column of tokens by each tokenizer.
+
+    tokenizers: column -> (vocabulary file, kind as in bpe). Counts are of whole texts, without special tokens; a null or
+    empty text has none. Every row gives a row; other columns are ignored; an empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoders = {name: bpe.encoder(*which) for name, which in tokenizers.items()}
+        for batch in batches:
+            for name, e in encoders.items():
+                batch[name] = [len(e.encode(t if isinstance(t, str) else None)) // 4 for t in batch["text"]]
+            yield batch.drop(columns="text")
+
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")))
+    out = rows.mapInPandas(run, ", ".join(["doc_id string, source string, lang string", *(f"`{name}` long" for name in tokenizers)]))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class Rollup:
@@ -70,22 +82,38 @@ class Rollup:
             return False
         return True
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, docs, tokens; groups that all deltas cancel are left out."""
-        paths = [f"{self.path}/deltas/{b}" for b in self.batches()]
-        fs, p = self._fs(f"{self.path}/snapshot")
-        if fs.exists(p):
-            done = set(r[0] for r in self.spark.read.text(f"{self.path}/snapshot/batches").collect())
-            paths = [x for x in paths if x.rpartition("/")[2] not in done] + [f"{self.path}/snapshot/totals"]
+    def _snapshot(self) -> str | None:
+        """The newest one. A snapshot is renamed into its place whole and never changed."""
+        fs, p = self._fs(f"{self.path}/snapshots")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+        return f"{self.path}/snapshots/{names[-1]}" if names else None
+
+    def _summed(self, batches: list[str], snapshot: str | None) -> DataFrame:
+        """Totals of these batches exactly, with the help of a snapshot of some of them."""
+        paths = [f"{self.path}/deltas/{b}" for b in batches]
+        if snapshot:
+            done = {r[0] for r in self.spark.read.schema("batch string").parquet(f"{snapshot}/batches").collect()}  # a name for each commit since
+            paths = [f"{self.path}/deltas/{b}" for b in batches if b not in done] + [f"{snapshot}/totals"]
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, docs, tokens; groups that all deltas cancel are left out."""
+        snapshot = self._snapshot()  # before the batches: what it has is among them
+        return self._summed(self.batches(), snapshot)
+
     def compact(self) -> None:
-        """Sum up all deltas so far. Their folders stay as the record of batch ids."""
+        """Sum up the deltas committed so far. Their folders stay as the record of batch ids.
+
+        The batches are listed once, and exactly these are summed up and noted: one that is committed meanwhile is left to
+        readers. The snapshot before this one stays for those who read it; older ones go.
+        """
+        before = self._snapshot()
         aside, done = f"{self.path}/aside-{uuid.uuid4().hex}", self.batches()
-        self.totals().write.parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(b,) for b in done], "batch string").coalesce(1).write.text(f"{aside}/batches")
-        fs, target = self._fs(f"{self.path}/snapshot")
-        if fs.exists(target):
-            fs.delete(target, True)
+        self._summed(done, before).write.parquet(f"{aside}/totals")
+        self.spark.createDataFrame([(b,) for b in done], "batch string").coalesce(1).write.parquet(f"{aside}/batches")
+        fs, target = self._fs(f"{self.path}/snapshots/{len(done):012d}-{uuid.uuid4().hex}")
+        fs.mkdirs(target.getParent())
         fs.rename(self._fs(aside)[1], target)
+        for old in sorted(x.getPath().toString() for x in fs.listStatus(target.getParent()))[:-2]:
+            fs.delete(self._fs(old)[1], True)
