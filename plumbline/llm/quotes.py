@@ -7,14 +7,17 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
 
 MARKS = re.compile(r"^((?:[ \t]*>)+)[ \t]?(.*)$", re.S)
 WROTE = re.compile(r"^\s*(?:on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb.*|el\b.*\bescribió)\s*:\s*$", re.I)
-MIN_WORDS = 3
+#: A sentence ends here.
+END = re.compile(r"(?<=[.!?…])\s+")
+#: Shorter passages are looked up in their own conversation only: elsewhere "yes, agreed" says nothing.
+FAR_WORDS = 3
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, list[str]]]]:
@@ -44,11 +47,11 @@ def passage_hash(text: str) -> tuple[str, int]:
 
 
 def passages(lines: list[str]) -> dict[str, int]:
-    """Hash -> words of a passage as a whole, its paragraphs and its lines of some length."""
+    """Hash -> words of a passage as a whole, its paragraphs, its lines and its sentences."""
     whole = "\n".join(lines)
-    parts = [whole, *re.split(r"\n\s*\n", whole), *lines]
-    found = dict(map(passage_hash, parts))
-    return {h: n for h, n in found.items() if n >= MIN_WORDS}
+    paragraphs = re.split(r"\n\s*\n", whole)
+    parts = [whole, *paragraphs, *lines, *(x for p in paragraphs for x in END.split(p))]
+    return {h: n for h, n in map(passage_hash, parts) if n}
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
@@ -70,10 +73,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     messages: conv_id, turn, role, text. The parent is the message that what is quoted was first written in: of the same
     conversation if one of its earlier turns has it, else of all conversations the first with it by (conv_id, turn),
-    unless that is the message itself or a later one. Of several, the shallowest quote level counts first, then the most
+    unless that is the message itself or a later one (passages of fewer than three words aren't looked up there). Of several, the shallowest quote level counts first, then the most
     quoted words, then the latest turn. In a conversation, root_turn and depth follow parents inside it; ordering by
-    root_turn, turn puts every reply after its parent, thread by thread. A null or empty text has no quotes; passages of
-    fewer than three words link nothing; repeated rows of a turn each give a row, linked alike; null conv_id or turn are
+    root_turn, turn puts every reply after its parent, thread by thread. A null or empty text has no quotes; repeated rows of a turn each give a row, linked alike; null conv_id or turn are
     never parents; other columns are ignored; an empty table gives no rows.
     """
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -92,7 +94,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         anywhere = inside.groupBy("hash").agg(F.min(F.struct("conv_id", "own_turn")).alias("first"))
         found = cited.join(inside, ["conv_id", "hash"], "left").join(anywhere, "hash", "left")
         near = F.col("own_turn") < F.col("turn")
-        far = F.col("first.conv_id") < F.col("conv_id")
+        far = (F.col("first.conv_id") < F.col("conv_id")) & (F.col("words") >= FAR_WORDS)
         found = found.select("row_id", "level", "words", F.when(near, F.col("conv_id")).when(far, F.col("first.conv_id")).alias("parent_conv"), F.when(near, F.col("own_turn")).when(far, F.col("first.own_turn")).alias("parent_turn"), F.coalesce(near, F.lit(False)).alias("near"))
         found = found.filter("parent_turn is not null").groupBy("row_id", "near", "parent_conv", "parent_turn").agg(F.min("level").alias("level"), F.sum("words").alias("words"))
         best = found.groupBy("row_id").agg(F.max(F.struct("near", (-F.col("level")).alias("l"), "words", "parent_turn", "parent_conv")).alias("b")).select("row_id", "b.parent_conv", "b.parent_turn")
@@ -111,7 +113,24 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "role", "parent_conv", "parent_turn", F.coalesce("root", "turn").alias("root_turn"), F.coalesce("steps", F.lit(0)).alias("depth"), "n_quotes", "max_level", "clean_text")
 
 
+def reply_ordered(linked: DataFrame) -> DataFrame:
+    """link_quotes' result with place: the message's number, from 0, in its conversation's reply order (root_turn, turn).
+
+    Equal turns stand in the order of their roles and texts; a null conv_id has no conversation and a null place. No
+    conversation is gathered in one task: rows are sorted over all tasks, and what stands before a task's share of a
+    conversation is summed up from one row for each task and conversation.
+    """
+    keys = ["conv_id", "root_turn", "turn", "role", "clean_text"]
+    ordered = stored(linked.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("number", F.monotonically_increasing_id()), "ordered")
+    ordered = ordered.withColumn("share", F.shiftright("number", 33))
+    shares = ordered.filter("conv_id is not null").groupBy("conv_id", "share").agg(F.min("number").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    shares = shares.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    out = ordered.join(shares, ["conv_id", "share"], "left")
+    return out.select(*linked.columns, (F.col("number") - F.col("first") + F.col("before")).alias("place"))
+
+
 def conversations(linked: DataFrame) -> DataFrame:
-    """One text for each conversation of link_quotes' result, in reply order; use it where conversations are of bounded size."""
+    """One list of messages for each conversation of link_quotes' result, in reply order; use it where conversations are of bounded size."""
     place = F.struct("root_turn", "turn", "role", "clean_text")
     return linked.groupBy("conv_id").agg(F.sort_array(F.collect_list(place)).alias("messages"))
