@@ -26,24 +26,33 @@ FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "kinds", "transit
 
 
 def matches(pattern: str, group: int) -> Column:
-    """finding, at (from 1) of each match in text; the group ends where the match does."""
+    """finding, at (characters before it and 1), byte (bytes before it) of each match in text; the group ends where the match does."""
     whole, value = (F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (0, group))
-    ends = F.zip_with(F.slice(F.split("text", pattern, -1), F.lit(1), F.size(whole)), whole, lambda a, b: F.length(a) + F.length(b))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("all"))
-    placed = F.aggregate(ends, start, lambda s, n: F.struct((s["end"] + n).alias("end"), F.concat(s["all"], F.array(s["end"] + n)).alias("all")))["all"]
-    return F.zip_with(value, placed, lambda v, end: F.struct(v.alias("finding"), (end - F.length(v) + 1).alias("at")))
+    between = F.slice(F.split("text", pattern, -1), F.lit(1), F.size(whole))
+    sizes = F.zip_with(between, whole, lambda a, b: F.struct((F.length(a) + F.length(b)).alias("chars"), (F.octet_length(a) + F.octet_length(b)).alias("bytes")))
+    start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("bytes"), F.array().cast("array<struct<chars:int,bytes:int>>").alias("all"))
+
+    def step(s: Column, x: Column) -> Column:
+        chars, octets = s["chars"] + x["chars"], s["bytes"] + x["bytes"]
+        return F.struct(chars.alias("chars"), octets.alias("bytes"), F.concat(s["all"], F.array(F.struct(chars.alias("chars"), octets.alias("bytes")))).alias("all"))
+
+    ends = F.aggregate(sizes, start, step)["all"]
+    return F.zip_with(value, ends, lambda v, end: F.struct(v.alias("finding"), (end["chars"] - F.length(v) + 1).alias("at"), (end["bytes"] - F.octet_length(v)).alias("byte")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, path, finding, before, after: each different candidate of a document once, at its first place."""
+    """doc_id, path, finding, at, before, after for every place of a candidate; a place that both patterns find comes once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED)).withColumn("all", F.concat(matches(CANDIDATE, 0), matches(ASSIGNED, 1)))
-    rows = rows.withColumn("finding", F.explode(F.array_distinct(F.col("all.finding"))))
-    rows = rows.withColumn("at", F.array_min(F.filter("all", lambda m: m["finding"] == F.col("finding"))["at"]))
-    at = F.col("at")
-    before = F.substring(F.col("text"), F.greatest(at - NEAR, F.lit(1)), F.least(at - 1, F.lit(NEAR)))
-    after = F.substring(F.col("text"), at + F.length("finding"), F.lit(NEAR))
-    return rows.select("doc_id", "path", "finding", at.alias("at"), before.alias("before"), after.alias("after"))
+    rows = rows.filter(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(ASSIGNED))
+    rows = rows.withColumn("m", F.explode(F.array_distinct(F.concat(matches(CANDIDATE, 0), matches(ASSIGNED, 1)))))
+    # places in bytes, so that a neighbour is found without counting characters from the start of a long text; a character
+    # has four bytes at most
+    data, at, finding = F.col("text").cast("binary"), F.col("m.byte"), F.col("m.finding")
+    wide = 4 * NEAR
+    before = F.substring(data, F.greatest(at - wide, F.lit(0)) + 1, F.least(at, F.lit(wide))).cast("string")
+    before = F.substring(before, F.greatest(F.length(before) - NEAR, F.lit(0)) + 1, F.lit(NEAR))
+    after = F.substring(F.substring(data, at + F.octet_length(finding) + 1, F.lit(wide)).cast("string"), 1, NEAR)
+    return rows.select("doc_id", "path", finding.alias("finding"), F.col("m.at").alias("at"), before.alias("before"), after.alias("after"))
 
 
 def share(pattern: str, text: Column) -> Column:
@@ -140,9 +149,9 @@ def score(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
-    """doc_id, at, n_chars, shown, sha256, score, is_secret for each different candidate of docs (doc_id, source, text).
+    """doc_id, at, n_chars, shown, sha256, score, is_secret for each place of a candidate in docs (doc_id, source, text).
 
-    at is the first place (from 1) of the candidate in the text. shown hides all but its first four characters. A null or
+    at is the place (from 1) in the text; each place is judged by its own neighbours. shown hides all but its first four characters. A null or
     empty text has none; rows that repeat a document repeat its findings; other columns are ignored; an empty table gives
     no rows.
     """
