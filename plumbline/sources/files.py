@@ -321,6 +321,27 @@ def save_xyz(points: DataFrame, path: str, normals: bool = False) -> None:
     points.select(F.concat_ws(" ", *names).alias("value")).write.text(path)
 
 
+def save_content(files: DataFrame, path: str, name: str) -> None:
+    """The content of each row of files as a file in path: name, with a number before its ending from the second row on.
+
+    Written by the tasks under a hidden name and renamed, so a task that runs twice leaves one whole file.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pafs.FileSystem.from_uri(path if "://" in path else "file://" + posixpath.abspath(path))
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for number, data in zip(batch["number"], batch["content"], strict=True):
+                stem, dot, ending = name.partition(".")
+                own = f"{stem}-{number}{dot}{ending}" if number else name
+                with fs.open_output_stream(f"{root}/.{own}", compression=None) as out:
+                    out.write(data)
+                fs.move(f"{root}/.{own}", f"{root}/{own}")
+                yield pd.DataFrame({"name": [own]})
+
+    files.select(F.monotonically_increasing_id().alias("number"), "content").mapInPandas(run, "name string").count()
+
+
 def mesh_bytes(mesh, kind: str = "umesh", compress: bool = False) -> DataFrame:
     """One row, content: the mesh as a file. umesh holds 65535 vertices; ply has no such limit but a mesh is one task's work."""
     both = mesh.vertices.select(F.lit(0).alias("k"), F.col("vid").alias("id"), F.array("x", "y", "z").alias("p")).unionByName(mesh.faces.select(F.lit(1).alias("k"), F.col("fid").alias("id"), F.array(*(F.col(n).cast("double") for n in "abc")).alias("p")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,16 @@ def once_per_batch(path: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return run
+
+
+def replayed(spark: SparkSession, table: str, path: str, summed) -> DataFrame:
+    """A Parquet table read as a stream until all of it is read: summed(stream) in complete mode, kept in path.
+
+    Each batch replaces the result as a whole, so one that is sent again changes nothing.
+    """
+    pattern = f"{table[:-1]}[{table[-1]}]"  # a table may be one file; only as a pattern does a stream take that
+    stream = spark.readStream.schema(spark.read.parquet(table).schema).parquet(pattern)
+    result = f"{path}/result"
+    run = summed(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
+    run.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(result)).start().awaitTermination()
+    return spark.read.parquet(result)
