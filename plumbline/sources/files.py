@@ -48,7 +48,7 @@ def _raster(data: bytes, options: dict) -> pd.DataFrame:
 
 
 def _mask(data: bytes, options: dict) -> pd.DataFrame:
-    r, c = np.nonzero(fm.read_png(data))
+    r, c = np.nonzero(fm.read_grey(data))
     return pd.DataFrame({"row": r, "col": c})
 
 
@@ -371,6 +371,31 @@ def raster_bytes(raster: DataFrame, px_size: float, min_z: float, max_z: float)
     return raster.select("row", "col", "v").groupBy(F.lit(0).alias("_g")).applyInPandas(run, "content binary")
 
 
+def mask_bytes(mask: DataFrame, kind: str = "png", shape: tuple[int, int] | None = None) -> DataFrame:
+    """One row, content: a mask (row, col) as a grey image (png, pgm or bmp), set pixels white. shape: rows and columns."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = shape or (int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1)
+        image = np.zeros(size, np.uint8)
+        image[pdf["row"], pdf["col"]] = 255
+        return pd.DataFrame({"content": [fm.GREY_WRITERS[kind](image)]})
+
+    return mask.select("row", "col").groupBy(F.lit(0).alias("_g")).applyInPandas(run, "content binary")
+
+
+def sample_mesh(spark: SparkSession, path: str, vertices: int | None = None, faces: int | None = None):
+    """A sample mesh (ply, stl or umesh, gzipped or not) from a folder of the user's own; none come with this library.
+
+    Fails where the file's numbers of vertices or faces aren't those given.
+    """
+    kind = posixpath.basename(path).removesuffix(".gz").rpartition(".")[2].lower()
+    found = load_mesh(spark, kind, path)
+    for what, wanted, table in (("vertices", vertices, found.vertices), ("faces", faces, found.faces)):
+        if wanted is not None and (n := table.count()) != wanted:
+            raise ValueError(f"{path}: {n} {what}, not {wanted}")
+    return found
+
+
 def rendered(raster: DataFrame, stops: list[list[float]], limits: tuple[float, float] | None = None) -> DataFrame:
     """One row, content: a colour-mapped png of rows (row, col, v); missing pixels are transparent."""
 
