@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mesh import Mesh, deviations, mesh_parts
+from ..functions import vectors as V
+from .checkpoints import cut
+from .mesh import Mesh, closest, deviations, mesh_parts
 
 
 # ---- transforms ---------------------------------------------------------------------------------------------------------
@@ -244,36 +246,28 @@ def points_to_cloud(points: DataFrame, cloud: DataFrame, radius: float, initial:
 
 
 def points_to_curve(points: DataFrame, segments: DataFrame, initial: np.ndarray | None = None, rounds: int = 50, tol: float = 1e-12) -> Alignment:
-    """2D: brings points (x, y) onto a polyline (seg, x0, y0, x1, y1); the polyline must have under 4 million segments."""
-    table = segments.select("x0", "y0", "x1", "y1").limit(4_000_001).toPandas().to_numpy(float)
-    if len(table) > 4_000_000:
-        raise ValueError("points_to_curve: over 4 million segments")
-    shared = points.sparkSession.sparkContext.broadcast(table)
-    rows = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    """2D: brings points (x, y) onto a polyline (seg, x0, y0, x1, y1) of any length."""
+    from .joins import closest_on_curve
+
+    edges = segments.select("seg", "x0", "y0", "x1", "y1", F.lit(0.0).alias("l0"))
+    rows = cut(points.select(F.monotonically_increasing_id().alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "points")
     centre = np.array(rows.agg(F.avg("x"), F.avg("y")).first(), float)
     start = np.eye(3) if initial is None else np.asarray(initial, float)
     pivot = start[:2, :2] @ centre + start[:2, 2]
 
+    def run(batches):
+        for pdf in batches:
+            q, n = pdf[["px", "py"]].to_numpy(float), pdf[["nx", "ny"]].to_numpy(float)
+            r = pdf["r"].to_numpy(float)
+            local = q - pivot
+            yield _sums(np.column_stack([n, local[:, 0] * n[:, 1] - local[:, 1] * n[:, 0]]), r, np.ones(len(q)))
+
     def sums(m: np.ndarray):
-        def run(batches):
-            s = shared.value
-            a, d = s[:, :2], s[:, 2:] - s[:, :2]
-            size = np.maximum((d**2).sum(1), 1e-300)
-            for pdf in batches:
-                p = pdf.to_numpy(float) @ m[:2, :2].T + m[:2, 2]
-                for i in range(0, len(p), max(1, 1_000_000 // len(s))):
-                    q = p[i : i + max(1, 1_000_000 // len(s))]
-                    w = q[:, None] - a
-                    t = np.clip((w * d).sum(2) / size, 0, 1)
-                    gap = w - t[..., None] * d
-                    j = (gap**2).sum(2).argmin(1)
-                    r = np.arange(len(q))
-                    n = np.stack([d[j, 1], -d[j, 0]], 1) / np.sqrt(size[j])[:, None]
-                    local = q - pivot
-                    jac = np.column_stack([n, local[:, 0] * n[:, 1] - local[:, 1] * n[:, 0]])
-                    yield _sums(jac, (gap[r, j] * n).sum(1), np.ones(len(q)))
-
-        return _gather(rows.mapInPandas(run, "s array<double>"), 3)
+        moved = rows.select("id", *(e.alias(c) for e, c in zip(V.transform((F.col("x"), F.col("y")), m[:2]), "xy", strict=True)))
+        met = closest_on_curve(moved, "id", edges)
+        along = (F.col("x") - F.col("px")) * F.col("nx") + (F.col("y") - F.col("py")) * F.col("ny")
+        found = met.join(moved, "id").select(along.alias("r"), "nx", "ny", F.col("x").alias("px"), F.col("y").alias("py"))
+        return _gather(found.mapInPandas(run, "s array<double>"), 3)
 
     def step(d: np.ndarray) -> np.ndarray:
         to, back = iso2(-pivot[0], -pivot[1]), iso2(pivot[0], pivot[1])
@@ -313,26 +307,36 @@ def multi_mesh(samples: DataFrame, meshes: dict[int, Mesh], static: int | None =
     free = [k for k in sorted(meshes) if k != fixed]
     place = {k: i for i, k in enumerate(free)}
     poses = {k: np.eye(4) for k in meshes}
-    shared = {k: list(mesh_parts(m, 1 << 40))[0] for k, m in meshes.items()}
-    before = None
-    for _ in range(rounds):
+    rows = cut(samples.select(F.monotonically_increasing_id().alias("id"), "mesh_id", "to_id", *(F.col(c).cast("double").alias(f"s{c}") for c in "xyz")), "samples")
+    spark, before = samples.sparkSession, None
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for i, own in pdf.groupby("mesh_id"):
+                jac = point_jacobian(own[["wx", "wy", "wz"]].to_numpy(float), own[["nx", "ny", "nz"]].to_numpy(float))
+                r = own["r"].to_numpy(float)
+                out.append((int(i), [*(jac.T @ jac).ravel(), *(jac.T @ r), float(r @ r)]))
+            yield pd.DataFrame(out, columns=["i", "s"])
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            i, j = int(pdf["mesh_id"].iloc[0]), int(pdf["to_id"].iloc[0])
-            index = shared[j].value
-            world = pdf[["x", "y", "z"]].to_numpy(float) @ poses[i][:3, :3].T + poses[i][:3, 3]
-            inverse = np.linalg.inv(poses[j])
-            local = world @ inverse[:3, :3].T + inverse[:3, 3]
-            face, w, _ = index.closest(local)
-            spot = (w[..., None] * index.tri[face]).sum(1)
-            n = index.normal[face] @ poses[j][:3, :3].T
-            r = ((local - spot) * index.normal[face]).sum(1)
-            jac = point_jacobian(world, n)
-            return pd.DataFrame({"i": [i], "j": [j], "a": [(jac.T @ jac).ravel()], "g": [jac.T @ r], "c": [float(r @ r)]})
-
-        # parts of each pair: a pair with many samples is dealt to several tasks
-        part = F.pmod(F.xxhash64("x", "y", "z"), F.lit(32))
-        sums = samples.withColumn("_p", part).groupBy("mesh_id", "to_id", "_p").applyInPandas(run, "i long, j long, a array<double>, g array<double>, c double").collect()
+    for _ in range(rounds):
+        sums = []
+        for j in sorted(meshes):
+            back = np.linalg.inv(poses[j])
+            moves = spark.createDataFrame([(int(i), *map(float, m[:3].ravel()), *map(float, (back @ m)[:3].ravel())) for i, m in poses.items()], ", ".join(["mesh_id long", *(f"{t}{k} double" for t in "wl" for k in range(12))]))
+            at = [F.col(f"s{c}") for c in "xyz"]
+            to = lambda t, row: sum((F.col(f"{t}{4 * row + k}") * at[k] for k in range(3)), F.col(f"{t}{4 * row + 3}"))
+            # a row for each mesh: a few
+            own = rows.filter(F.col("to_id") == j).join(F.broadcast(moves), "mesh_id").select("id", "mesh_id", *(to("l", k).alias(c) for k, c in enumerate("xyz")), *(to("w", k).alias(f"w{c}") for k, c in enumerate("xyz")))
+            met = closest(own.select("id", "x", "y", "z"), meshes[j], "id")
+            r = V.dot(V.sub((F.col("x"), F.col("y"), F.col("z")), (F.col("px"), F.col("py"), F.col("pz"))), (F.col("nx"), F.col("ny"), F.col("nz")))
+            turned = V.transform((F.col("nx"), F.col("ny"), F.col("nz")), poses[j][:3], vector=True)
+            found = met.select("id", r.alias("r"), *(e.alias(f"n{c}") for e, c in zip(turned, "xyz", strict=True))).join(own.select("id", "mesh_id", "wx", "wy", "wz"), "id").drop("id")
+            total = found.mapInPandas(run, "i long, s array<double>").select("i", F.posexplode("s")).groupBy("i", "pos").agg(F.sum("col").alias("v")).collect()  # 43 numbers for each mesh
+            by: dict[int, np.ndarray] = {}
+            for t in total:
+                by.setdefault(t["i"], np.zeros(43))[t["pos"]] = t["v"]
+            sums += [{"i": i, "j": j, "a": v[:36], "g": v[36:42], "c": v[42]} for i, v in sorted(by.items())]
         a, g, cost = np.zeros((6 * len(free),) * 2), np.zeros(6 * len(free)), 0.0
         for s in sums:
             block, grad, cost = np.array(s["a"]).reshape(6, 6), np.array(s["g"]), cost + s["c"]
