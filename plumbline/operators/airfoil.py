@@ -145,6 +145,32 @@ def edge_point(section: Section, stations: Sequence[Station], strategy: str = "i
     return last.centre + way * t[0] if len(t) else None
 
 
+def reversed_stations(stations: Sequence[Station]) -> list[Station]:
+    """In the other order, so that what was on the left of the camber line is on its right."""
+    return [Station(s.centre, s.radius, s.lower, s.upper) for s in reversed(stations)]
+
+
+def oriented(stations: Sequence[Station], strategy: str = "thickest", direction: Sequence[float] | None = None) -> list[Station]:
+    """Stations with the leading edge first.
+
+    thickest: the end that is nearer, along the camber line, to the largest inscribed circle leads, as on most subsonic
+    airfoils. direction: the end that lies further in a given direction leads.
+    """
+    if not stations:
+        raise ValueError("no stations to orient")
+    centres = np.array([s.centre for s in stations])
+    if strategy == "direction":
+        if direction is None:
+            raise ValueError("a direction is needed")
+        turned = (centres[-1] - centres[0]) @ np.asarray(direction, float) > 0
+    elif strategy == "thickest":
+        at = np.concatenate(([0], np.cumsum(np.linalg.norm(np.diff(centres, axis=0), axis=1))))
+        turned = at[int(np.argmax([s.radius for s in stations]))] > at[-1] / 2
+    else:
+        raise ValueError(f"no such orientation: {strategy}")
+    return reversed_stations(stations) if turned else list(stations)
+
+
 def analyse(points: np.ndarray, tol: float = 1e-3, leading: str = "intersect", trailing: str = "intersect", direction: Sequence[float] | None = None) -> dict:
     """Stations from the leading edge to the trailing edge, edges, largest thickness and chord.
 
@@ -152,13 +178,7 @@ def analyse(points: np.ndarray, tol: float = 1e-3, leading: str = "intersect", t
     """
     section = Section(points)
     stations = camber_stations(section, tol)
-    k = int(np.argmax([s.radius for s in stations]))
-    flip = (stations[-1].centre - stations[0].centre) @ np.asarray(direction, float) > 0 if direction is not None else k > len(stations) - 1 - k
-    if direction is None:
-        at = np.concatenate(([0], np.cumsum([np.linalg.norm(b.centre - a.centre) for a, b in zip(stations, stations[1:], strict=False)])))
-        flip = at[k] > at[-1] / 2
-    if flip:
-        stations = stations[::-1]
+    stations = oriented(stations, "thickest" if direction is None else "direction", direction)
     stations = [s if turn(stations[-1].centre - stations[0].centre, s.upper - s.centre) >= 0 else Station(s.centre, s.radius, s.lower, s.upper) for s in stations]
     le, te = edge_point(section, stations[::-1], leading), edge_point(section, stations, trailing)
     # the last of the largest circles
@@ -245,7 +265,7 @@ def fit_circle(p: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
     return centre, float(r)
 
 
-def locate_edge(section: Section, stations: Sequence[Station], strategy: str, radius: float | None = None, tol: float = 1e-4, seed: int = 24601) -> dict | None:
+def locate_edge(section: Section, stations: Sequence[Station], strategy: str, radius: float | None = None, tol: float = 1e-4, seed: int = 7, draws: int = 400) -> dict | None:
     """The edge beyond the last station: point, and centre and radius where the strategy fits a circle.
 
     open: none. intersect: along the last direction. gap: midway between the ends of an open contour. curvature: the
@@ -287,7 +307,7 @@ def locate_edge(section: Section, stations: Sequence[Station], strategy: str, ra
         centre, r = last + way * low, radius
     elif strategy == "ransac":
         rng, best, centre, r = np.random.default_rng(seed), -1, last, 0.0
-        for _ in range(500):
+        for _ in range(draws):
             a, b, c = p[rng.choice(len(p), 3, replace=False)]
             m = np.array([b - a, c - a]) * 2
             if abs(np.linalg.det(m)) < 1e-14:
@@ -344,3 +364,62 @@ def caliper_chord(points: np.ndarray, lower_side: bool = True) -> tuple[np.ndarr
     way = step[k] / np.linalg.norm(step[k])
     t = (hull - hull[k]) @ way
     return hull[k] + way * t.min(), way * (t.max() - t.min())
+
+
+# ---- an edge with two rounded corners ------------------------------------------------------------------------------------
+def rounded_square_distances(p: np.ndarray, start: np.ndarray, end: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distance of each point from the path start, corner, corner, end with rounded corners; x: both corners, both radii.
+
+    A corner's circle touches both legs; between the touching points its arc replaces them.
+    """
+    path = [start, x[:2], x[2:4], end]
+    legs, arcs, at = [], [], start
+    for corner, after, radius in ((path[1], path[2], x[4]), (path[2], path[3], x[5])):
+        before = path[0] if corner is path[1] else path[1]
+        u, v = before - corner, after - corner
+        u, v = u / max(np.linalg.norm(u), 1e-300), v / max(np.linalg.norm(v), 1e-300)
+        half = np.arccos(np.clip(u @ v, -1, 1)) / 2
+        radius, reach = abs(radius), abs(radius) / max(np.tan(half), 1e-9)
+        middle = u + v
+        centre = corner + middle / max(np.linalg.norm(middle), 1e-300) * radius / max(np.sin(half), 1e-9)
+        legs.append((at, corner + u * reach))
+        arcs.append((centre, radius, corner - centre, np.cos(np.pi / 2 - half)))
+        at = corner + v * reach
+    legs.append((at, end))
+    out = []
+    for a, b in legs:
+        d = b - a
+        t = np.clip((p - a) @ d / max(d @ d, 1e-300), 0, 1)
+        out.append(np.linalg.norm(p - a - t[:, None] * d, axis=1))
+    for centre, radius, way, spread in arcs:
+        gap = p - centre
+        size = np.maximum(np.linalg.norm(gap, axis=1), 1e-300)
+        inside = gap @ way / size >= spread * np.linalg.norm(way)
+        out.append(np.where(inside, np.abs(size - radius), np.inf))
+    return np.min(out, axis=0)
+
+
+def fit_rounded_square(p: np.ndarray, tip: np.ndarray, rounds: int = 100) -> dict:
+    """Least squares of an edge contour p (in order) as two corners with radii; tip: where the camber line leaves it.
+
+    Levenberg and Marquardt's steps with differences for slopes. Returns corners, radii and the largest distance left.
+    """
+    start, end = p[0], p[-1]
+    middle = (start + end) / 2
+    x = np.concatenate([tip + start - middle, tip + end - middle, [np.linalg.norm(end - start) / 4] * 2])
+    damping, now = 1e-3, rounded_square_distances(p, start, end, x)
+    for _ in range(rounds):
+        slopes = np.stack([(rounded_square_distances(p, start, end, x + h) - now) / 1e-6 for h in np.eye(6) * 1e-6], axis=1)
+        a, b = slopes.T @ slopes, -slopes.T @ now
+        step = np.linalg.solve(a + damping * (np.diag(np.diag(a)) + 1e-12 * np.eye(6)), b)
+        then = rounded_square_distances(p, start, end, x + step)
+        if then @ then < now @ now:
+            small = now @ now - then @ then < 1e-15 * (now @ now)
+            x, now, damping = x + step, then, damping / 5
+            if small:
+                break
+        else:
+            damping *= 5
+            if damping > 1e12:
+                break
+    return {"corners": x[:4].reshape(2, 2), "radii": np.abs(x[4:]), "residual": float(now.max())}

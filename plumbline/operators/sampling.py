@@ -186,32 +186,170 @@ def farthest_pair(hull: DataFrame, by: Sequence[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.max_by(F.struct("i", "j", "d"), F.struct("d", -F.col("i"), -F.col("j"))).alias("p")).select(*by, "p.*")
 
 
-def ball_pivot(points: np.ndarray, radius: float, start: int | None = None, clockwise: bool = False) -> list[int]:
-    """Places of the boundary that a ball of some radius meets when it rolls around a 2D cloud, starting from a hull corner."""
-    hull = hull_2d(points)
-    first = int(hull[0]) if start is None else start
+def free_direction(points: np.ndarray, at: int, radius: float, steps: int = 720) -> np.ndarray:
+    """Unit direction from a point to the centre of a ball that touches it and holds no other point, as free as can be."""
+    angles = 2 * np.pi * np.arange(steps) / steps
+    ways = np.column_stack([np.cos(angles), np.sin(angles)])
+    others = np.delete(points, at, axis=0)
+    near = others[np.hypot(*(others - points[at]).T) <= 4 * radius]
+    if not len(near):
+        return ways[0]
+    room = np.linalg.norm((points[at] + radius * ways)[:, None] - near[None], axis=2).min(axis=1)
+    best = int(room.argmax())
+    if room[best] < radius * (1 - 1e-9):
+        raise ValueError("ball_pivot: no ball can touch the first point")
+    return ways[best]
+
+
+def ball_path(points: np.ndarray, radius: float, start: int | None = None, direction: np.ndarray | None = None, end: int | None = None, clockwise: bool = False) -> tuple[list[int], np.ndarray]:
+    """(places, centres) of the points that a ball of some radius meets when it rolls around a 2D cloud.
+
+    It starts on a hull corner, or on the point start with its centre in direction (the freest where none is given), and
+    ends on the point end or, without one, when it comes to a point again. centres[i] is where it touches places i and i + 1.
+    """
     sign = -1.0 if clockwise else 1.0
-    out, current = [first], first
-    # the hull starts at the lowest x, where a ball comes from the left
-    outward = points[first] - points.mean(axis=0) if start is not None else np.array([-1.0, 0.0])
-    back = np.arctan2(outward[1], outward[0])
+    if start is None:
+        first, way = int(hull_2d(points)[0]), np.array([-1.0, 0.0])  # the hull starts at the lowest x: a ball comes from the left
+    else:
+        first, way = start, np.asarray(direction, float) if direction is not None else free_direction(points, start, radius)
+    cells: dict[tuple, list[int]] = {}
+    home = np.floor(points / (2 * radius)).astype(int)
+    for k, c in enumerate(map(tuple, home.tolist())):
+        cells.setdefault(c, []).append(k)
+    out, centres, seen, current = [first], [], {first}, first
+    back = np.arctan2(way[1], way[0])
     for _ in range(4 * len(points)):
-        gap = points - points[current]
+        i, j = home[current]
+        around = np.array([k for a in (-1, 0, 1) for b in (-1, 0, 1) for k in cells.get((i + a, j + b), ())])
+        gap = points[around] - points[current]
         d = np.hypot(gap[:, 0], gap[:, 1])
-        near = np.flatnonzero((d > 0) & (d <= 2 * radius))
-        if not len(near):
+        ok = (d > 0) & (d <= 2 * radius)
+        if not ok.any():
             break
-        half = gap[near] / 2
+        near, half, d = around[ok], gap[ok] / 2, d[ok]
         height = np.sqrt(np.maximum(radius**2 - (half**2).sum(axis=1), 0)) / np.maximum(np.hypot(half[:, 0], half[:, 1]), 1e-300)
         centre = half + sign * np.stack([half[:, 1], -half[:, 0]], axis=1) * height[:, None]
         angle = np.mod(sign * (np.arctan2(centre[:, 1], centre[:, 0]) - back), 2 * np.pi)
         angle[angle < 1e-9] += 2 * np.pi
-        best = int(np.lexsort((d[near], angle))[0])
-        back = np.arctan2(*(points[current] + centre[best] - points[near[best]])[::-1])
+        best = int(np.lexsort((d, angle))[0])
+        to = points[current] + centre[best]
+        back = np.arctan2(*(to - points[near[best]])[::-1])
         current = int(near[best])
-        if current == first:
-            return out
-        if current in out:
-            raise ValueError("ball_pivot: the ball runs in a loop that misses its start")
         out.append(current)
-    return out
+        centres.append(to)
+        if current == end or (end is None and current in seen):
+            return out, np.array(centres).reshape(-1, 2)
+        seen.add(current)
+    if end is not None and end != first:
+        raise ValueError("ball_pivot: the ball never comes to the last point")
+    return out, np.array(centres).reshape(-1, 2)
+
+
+def ball_pivot(points: np.ndarray, radius: float, start: int | None = None, clockwise: bool = False) -> list[int]:
+    """Places of the boundary, each once, that a ball meets until it is back where it began."""
+    out, _ = ball_path(points, radius, start, clockwise=clockwise)
+    if len(out) > 1 and out[-1] != out[0]:
+        if out[-1] in out[:-1]:
+            raise ValueError("ball_pivot: the ball runs in a loop that misses its start")
+        return out
+    return out[:-1] if len(out) > 1 else out
+
+
+def ball_boundary(points: np.ndarray, radius: float, max_spacing: float, **options) -> np.ndarray:
+    """The places ball_path gives, as points; gaps wider than max_spacing are filled along the resting ball's arc."""
+    at, centres = ball_path(points, radius, **options)
+    out = [points[at[0]]]
+    for p, q, c in zip(points[at], points[at[1:]], centres, strict=False):
+        if np.hypot(*(q - p)) > max_spacing:
+            u, v = p - c, q - c
+            whole = float(np.arctan2(turn(u, v), u @ v))
+            n = int(np.ceil(radius * abs(whole) / max_spacing))
+            for k in range(1, n):
+                a = np.arctan2(u[1], u[0]) + whole * k / n
+                out.append(c + radius * np.array([np.cos(a), np.sin(a)]))
+        out.append(q)
+    return np.array(out)
+
+
+# ---- hulls in space ------------------------------------------------------------------------------------------------------
+def hull_3d(points: np.ndarray) -> np.ndarray:
+    """Triangles (places of corners, seen counter-clockwise from outside) of the convex hull; none for flat clouds.
+
+    Point by point: the faces that a point sees go, and their border is joined to it.
+    """
+    points = np.asarray(points, float)
+    size = np.abs(points - points.mean(axis=0)).max() if len(points) else 0.0
+    eps = 1e-10 * max(size, 1e-300)
+    a = int(np.lexsort(points.T[::-1])[0]) if len(points) else 0
+    if len(points) < 4:
+        return np.zeros((0, 3), np.int64)
+    b = int(np.linalg.norm(points - points[a], axis=1).argmax())
+    across = np.linalg.norm(np.cross(points - points[a], points[b] - points[a]), axis=1)
+    c = int(across.argmax())
+    normal = np.cross(points[b] - points[a], points[c] - points[a])
+    height = (points - points[a]) @ normal
+    d = int(np.abs(height).argmax())
+    if abs(height[d]) <= eps * max(np.linalg.norm(normal), 1e-300):
+        return np.zeros((0, 3), np.int64)
+    inner = points[[a, b, c, d]].mean(axis=0)
+    faces: dict[tuple[int, int, int], tuple[np.ndarray, float]] = {}
+
+    def add(i: int, j: int, k: int) -> None:
+        n = np.cross(points[j] - points[i], points[k] - points[i])
+        n = n / max(np.linalg.norm(n), 1e-300)
+        if n @ (inner - points[i]) > 0:
+            j, k, n = k, j, -n
+        faces[i, j, k] = (n, float(n @ points[i]))
+
+    for face in ((a, b, c), (a, b, d), (a, c, d), (b, c, d)):
+        add(*face)
+    order = np.argsort(-np.linalg.norm(points - inner, axis=1), kind="stable")
+    for p in order.tolist():
+        if p in (a, b, c, d):
+            continue
+        keys = list(faces)
+        planes = np.array([faces[k][0] for k in keys])
+        seen = planes @ points[p] - np.array([faces[k][1] for k in keys]) > eps
+        if not seen.any():
+            continue
+        border: dict[tuple[int, int], tuple[int, int]] = {}
+        for k in np.flatnonzero(seen):
+            i, j, m = keys[k]
+            for edge in ((i, j), (j, m), (m, i)):
+                if border.pop(edge[::-1], None) is None:
+                    border[edge] = edge
+            del faces[keys[k]]
+        for i, j in border:
+            add(i, j, p)
+    return np.array(sorted(faces), np.int64).reshape(-1, 3)
+
+
+def convex_hulls_3d(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, fid, x0, y0, z0, .. z2: the hull's triangles of each group's points (x, y, z).
+
+    Hulls are made twice: of hash parts of each group, then of the parts' corners, so a large group is never gathered whole.
+    Parts too flat for a hull keep all their points. A group without a hull gives no rows.
+    """
+    kinds = dict(points.dtypes)
+    keys = ", ".join(f"{n} {kinds[n]}" for n in by)
+    rows = points.select(*by, *(F.col(n).cast("double").alias(n) for n in "xyz"))
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.drop_duplicates(["x", "y", "z"])
+        at = np.unique(hull_3d(p[["x", "y", "z"]].to_numpy()))
+        return p.iloc[at] if len(at) else p
+
+    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[["x", "y", "z"]].drop_duplicates().sort_values(["x", "y", "z"]).to_numpy()
+        faces = hull_3d(p)
+        out = pd.DataFrame(p[faces].reshape(-1, 9), columns=[f"{c}{k}" for k in range(3) for c in "xyz"])
+        out.insert(0, "fid", np.arange(len(out), dtype=np.int64))
+        for n in reversed(by):
+            out.insert(0, n, pdf[n].iloc[0])
+        return out
+
+    coordinates = "x double, y double, z double"
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64("x", "y", "z"), F.lit(64))).groupBy(*by, "_part")
+    kept = parts.applyInPandas(lambda pdf: corners(pdf)[[*by, "x", "y", "z"]], ", ".join(filter(None, [keys, coordinates])))
+    schema = ", ".join(filter(None, [keys, "fid long", *(f"{c}{k} double" for k in range(3) for c in "xyz")]))
+    return kept.groupBy(*by).applyInPandas(hull, schema)

@@ -214,8 +214,8 @@ def circle_fit(df: DataFrame, by: Sequence[str], x: str, y: str, rounds: int = 2
     return fit.select(*by, F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"), F.col("c.r").alias("radius"))
 
 
-def circle_ransac(df: DataFrame, x: str, y: str, tol: float, iterations: int = 500, seed: int = 24601, sample: int = 4096) -> tuple[float, float, float, int]:
-    """(cx, cy, radius, inliers) of the circle with the most points within tol.
+def circle_ransac(df: DataFrame, x: str, y: str, tol: float, iterations: int = 400, seed: int = 7, sample: int = 4096, min_radius: float = 0.0, max_radius: float = float("inf")) -> tuple[float, float, float, int]:
+    """(cx, cy, radius, inliers) of the circle with the most points within tol, of those with a radius between the bounds.
 
     Candidates come from triples of a bounded random sample of points; every candidate is counted over all rows in one pass.
     """
@@ -226,9 +226,10 @@ def circle_ransac(df: DataFrame, x: str, y: str, tol: float, iterations: int = 5
         m = np.array([b - a, c - a]) * 2
         if abs(np.linalg.det(m)) > 1e-12:
             u = np.linalg.solve(m, [(b - a) @ (b - a), (c - a) @ (c - a)])
-            circles.append((*(a + u), float(np.hypot(*u))))
+            if min_radius <= (r := float(np.hypot(*u))) <= max_radius:
+                circles.append((*(a + u), r))
     if not circles:
-        raise ValueError("no three points that aren't in line")
+        raise ValueError("no three points that aren't in line make a circle between the bounds")
     table = np.array(circles)
 
     def count(batches):
