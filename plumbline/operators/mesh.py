@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import masks
 from .checkpoints import cut
 from .graph import chain, directed_edges
 
@@ -235,6 +236,66 @@ def from_corners(tri: DataFrame) -> Mesh:
     return Mesh(vertices.select("vid", "p.*"), faces.select("fid", "a", "b", "c").filter("a <> b and b <> c and a <> c"))
 
 
+def at_barycentric(mesh: Mesh, queries: DataFrame) -> DataFrame:
+    """queries (fid, u, v, w, ...) with the place x, y, z on the face and its normal nx, ny, nz.
+
+    Fails on a face that the mesh lacks and on one without a normal.
+    """
+    found = queries.join(mesh.corners(), "fid", "left")
+    place = V.add(V.add(V.scale(_corner(0), F.col("u")), V.scale(_corner(1), F.col("v"))), V.scale(_corner(2), F.col("w")))
+    normal = normal_of()
+    reason = F.when(F.col("x0").isNull(), F.lit("the mesh has no such face")).when(normal[0].isNull(), F.lit("a face has no normal"))
+    checked = F.when(reason.isNotNull(), F.raise_error(reason).cast("double")).otherwise(place[0])
+    return found.select(*queries.columns, checked.alias("x"), place[1].alias("y"), place[2].alias("z"), *(c.alias(f"n{k}") for c, k in zip(normal, "xyz", strict=True)))
+
+
+@dataclass(frozen=True)
+class Selection:
+    """Faces of a mesh, narrowed and widened step by step; nothing runs before collect() or create_mesh().
+
+    A step takes a set of faces (fid) and adds it, removes it or keeps only it. Steps that look at corners alone become one
+    filter over the corners; the others are semi-joins of the same plan.
+    """
+
+    mesh: Mesh
+    chosen: DataFrame
+
+    @staticmethod
+    def everything(mesh: Mesh) -> Selection:
+        return Selection(mesh, mesh.faces.select("fid"))
+
+    @staticmethod
+    def nothing(mesh: Mesh) -> Selection:
+        return Selection(mesh, mesh.faces.select("fid").limit(0))
+
+    def step(self, faces: DataFrame, op: masks.SelectOp) -> Selection:
+        return Selection(self.mesh, masks.select_keys(self.chosen, faces.select("fid"), op))
+
+    def facing(self, direction: Sequence[float], angle: float, op: masks.SelectOp = masks.SelectOp.KEEP) -> Selection:
+        return self.step(self.mesh.facing(direction, angle), op)
+
+    def above_plane(self, n: Sequence[float], d: float, op: masks.SelectOp = masks.SelectOp.KEEP, all_vertices: bool = True) -> Selection:
+        return self.step(self.mesh.above_plane(n, d, all_vertices), op)
+
+    def near_point(self, point: Sequence[float], max_dist: float, op: masks.SelectOp = masks.SelectOp.KEEP, all_vertices: bool = True) -> Selection:
+        return self.step(self.mesh.near_point(point, max_dist, all_vertices), op)
+
+    def near_mesh(self, other: Mesh, distance: float, op: masks.SelectOp = masks.SelectOp.KEEP, **options) -> Selection:
+        return self.step(self.mesh.near_mesh(other, distance, **options), op)
+
+    def expanded(self, hops: int = 1, exclude: DataFrame | None = None) -> Selection:
+        return Selection(self.mesh, masks.expand(self.chosen, self.mesh.faces, hops, exclude))
+
+    def inverted(self) -> Selection:
+        return Selection(self.mesh, masks.difference(self.mesh.faces.select("fid"), self.chosen))
+
+    def collect(self) -> DataFrame:
+        return self.chosen
+
+    def create_mesh(self) -> Mesh:
+        return self.mesh.submesh(self.chosen)
+
+
 # ---- generators -------------------------------------------------------------------------------------------------------
 def box(spark: SparkSession, sx: float, sy: float, sz: float) -> Mesh:
     """Centred on the origin."""

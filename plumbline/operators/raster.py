@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -429,3 +430,37 @@ def convolve_fast(df: DataFrame, by: Keys, sigma: float, target: float = 2.0) ->
     blurred = convolve(small, by, gaussian_kernel(sigma / factor)).withColumnRenamed("v", "_v").withColumnRenamed("row", "_r").withColumnRenamed("col", "_c")
     rows = df.withColumn("_r", F.floor(F.col("row") / factor).cast("long")).withColumn("_c", F.floor(F.col("col") / factor).cast("long"))
     return rows.join(blurred, [*by, "_r", "_c"]).select(*by, "row", "col", F.col("_v").alias("v"))
+
+
+# ---- masks of a region of interest -------------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class RoiMask:
+    """A mask (row, col, counted inside the region) and where its region lies in the raster: first row and column, size."""
+
+    mask: DataFrame
+    top: int
+    left: int
+    height: int
+    width: int
+
+    @staticmethod
+    def of(mask: DataFrame, top: int, left: int, height: int, width: int) -> RoiMask:
+        """From a mask of the whole raster: the part inside the region."""
+        inside = mask.filter(F.col("row").between(top, top + height - 1) & F.col("col").between(left, left + width - 1))
+        return RoiMask(inside.select((F.col("row") - top).alias("row"), (F.col("col") - left).alias("col")), top, left, height, width)
+
+    def pixels(self) -> DataFrame:
+        """row, col in the raster, and local_row, local_col in the region."""
+        return self.mask.select((F.col("row") + self.top).alias("row"), (F.col("col") + self.left).alias("col"), F.col("row").alias("local_row"), F.col("col").alias("local_col"))
+
+    def resized(self, top: int, left: int, height: int, width: int) -> RoiMask:
+        """The same pixels of the raster under another region; those outside it are cut off."""
+        return RoiMask.of(self.pixels().select("row", "col"), top, left, height, width)
+
+    def shared(self, other: RoiMask) -> DataFrame:
+        """row, col of the raster's pixels that lie in both regions, set or not, with set (by this mask)."""
+        top, left = max(self.top, other.top), max(self.left, other.left)
+        bottom, right = min(self.top + self.height, other.top + other.height), min(self.left + self.width, other.left + other.width)
+        spark = self.mask.sparkSession
+        both = rectangle(spark, top, left, max(0, bottom - top), max(0, right - left))
+        return both.join(self.pixels().select("row", "col", F.lit(True).alias("set")), ["row", "col"], "left").withColumn("set", F.coalesce("set", F.lit(False)))

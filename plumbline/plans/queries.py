@@ -751,7 +751,11 @@ def raster_inpaint(spark, sf):
     return rounded(raster.inpaint(r, holes, (), 3), "v")
 
 
-@query()
+@query("""
+with p as (select p_partkey as key, cast(p_size as double) as x, p_retailprice / 100 as y, p_size * 0.25 + p_retailprice / 10 * 0.05 as z from part), n as (
+    select a.key, count(*) as n from p a join p b on b.x between a.x - 3 and a.x + 3 and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 9 group by a.key)
+select key, case when n < 3 then 0.0 else round(-0.25 / sqrt(1.3125), 4) end as nx, case when n < 3 then 0.0 else round(-0.5 / sqrt(1.3125), 4) end as ny, case when n < 3 then 1.0 else round(1 / sqrt(1.3125), 4) end as nz from n
+""")
 def normal_estimation(spark, sf):
     from ..operators import normals
 
