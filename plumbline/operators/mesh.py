@@ -401,6 +401,31 @@ def closest_on_triangles(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndar
     return np.nan_to_num(out)
 
 
+def rough_distances(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Squared distances (points x triangles) by products of matrices, about 1e-13 of the extent off; not a number where a triangle is flat."""
+    centre = tri.mean(axis=(0, 1))
+    p, a, b, c = p - centre, tri[:, 0] - centre, tri[:, 1] - centre, tri[:, 2] - centre
+    ab, ac = b - a, c - a
+    abab, abac, acac = (ab * ab).sum(1), (ab * ac).sum(1), (ac * ac).sum(1)
+    d1, d2 = p @ ab.T - (a * ab).sum(1), p @ ac.T - (a * ac).sum(1)
+    d3, d4, d5, d6 = d1 - abab, d2 - abac, d1 - abac, d2 - acac
+    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        total = abab * acac - abac * abac
+        v, w = vb / total, vc / total
+        on = (va <= 0) & (d4 >= d3) & (d5 >= d6)
+        t = ((d4 - d3) / ((d4 - d3) + (d5 - d6)))[on]
+        v[on], w[on] = 1 - t, t
+        on = (vb <= 0) & (d2 >= 0) & (d6 <= 0)
+        v[on], w[on] = 0, (d2[on] / (d2[on] - d6[on]))
+        on = (vc <= 0) & (d1 >= 0) & (d3 <= 0)
+        v[on], w[on] = (d1[on] / (d1[on] - d3[on])), 0
+    for on, x, y in (((d6 >= 0) & (d5 <= d6), 0, 1), ((d3 >= 0) & (d4 <= d3), 1, 0), ((d1 <= 0) & (d2 <= 0), 0, 0)):
+        v[on], w[on] = x, y
+    whole = (p * p).sum(1)[:, None] - 2 * (p @ a.T) + (a * a).sum(1)
+    return whole + v * (v * abab + 2 * w * abac - 2 * d1) + w * (w * acac - 2 * d2)
+
+
 class MeshIndex:
     """Triangles in blocks of neighbours with bounding boxes; a query looks at blocks in order of how near they can be."""
 
@@ -437,16 +462,23 @@ class MeshIndex:
                 r = np.flatnonzero(bound[:, b] <= near)
                 if not len(r):
                     continue
-                at = slice(b * self.block, min((b + 1) * self.block, len(self.tri)))
-                t = self.tri[at]
-                k = closest_on_triangles(q[r][:, None], t[None, :, 0], t[None, :, 1], t[None, :, 2])
-                d = ((np.einsum("nfk,fkc->nfc", k, t) - q[r][:, None]) ** 2).sum(-1)
-                low = d.min(axis=1)
-                j = np.where(d == low[:, None], self.fid[at], np.iinfo(np.int64).max).argmin(axis=1)
-                i = np.arange(len(r))
-                better = (low < near[r]) | ((low == near[r]) & (self.fid[at][j] < fid[r]))
-                g = r[better]
-                f[g], w[g], fid[g], near[g] = j[better] + b * self.block, k[i, j][better], self.fid[at][j][better], low[better]
+                start = b * self.block
+                t = self.tri[start : start + self.block]
+                rough = rough_distances(q[r], t)
+                # what may be the closest is measured exactly, so that equal distances are equal
+                extent = float(((q[r] - t[0, 0]) ** 2).sum(1).max() + ((t - t[0, 0]) ** 2).sum(-1).max())
+                i, j = np.nonzero(~(rough > np.minimum(np.nanmin(rough, axis=1, initial=np.inf), near[r])[:, None] + 1e-11 * extent))
+                if not len(i):
+                    continue
+                k = closest_on_triangles(q[r[i]], t[j, 0], t[j, 1], t[j, 2])
+                d = ((np.einsum("nk,nkc->nc", k, t[j]) - q[r[i]]) ** 2).sum(-1)
+                own = self.fid[start + j]
+                order = np.lexsort((own, d, i))
+                first = order[np.concatenate(([True], np.diff(i[order]) > 0))]
+                g, low, own = r[i[first]], d[first], own[first]
+                better = (low < near[g]) | ((low == near[g]) & (own < fid[g]))
+                g, first = g[better], first[better]
+                f[g], w[g], fid[g], near[g] = j[first] + start, k[first], own[better], low[better]
             face[s : s + chunk], weight[s : s + chunk], best[s : s + chunk] = f, w, near
         return face, weight, best
 

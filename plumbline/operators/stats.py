@@ -161,15 +161,21 @@ def circle_moments(x: Column, y: Column) -> list[Column]:
     return [F.sum(v).alias(f"m_{k}") for k, v in terms.items()]
 
 
+#: Circles of so many groups go to every task (some 10 MB); those of more are joined.
+FEW_GROUPS = 100_000
+#: Gauss-Newton steps between two cuts of lineage.
+STEPS = 4
+
+
 def circle_fit(df: DataFrame, by: Sequence[str], x: str, y: str, rounds: int = 20) -> DataFrame:
     """Geometric least-squares circle (cx, cy, radius) of each group: an algebraic start, then Gauss-Newton steps.
 
     Each step is one aggregation of 3x3 sums; all steps of all groups run together.
     """
-    rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    mean = rows.groupBy(*by).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    points = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    mean = points.groupBy(*by).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
     link = (lambda a, b: a.join(b, list(by))) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))
-    rows = link(rows, mean)
+    rows = link(points, mean)
     local = rows.groupBy(*by, "_mx", "_my").agg(*circle_moments(F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")))
 
     @F.pandas_udf("struct<cx:double,cy:double,r:double>")
@@ -199,14 +205,19 @@ def circle_fit(df: DataFrame, by: Sequence[str], x: str, y: str, rounds: int = 2
     fit = fit.select(*by, F.struct((F.col("c.cx") + F.col("_mx")).alias("cx"), (F.col("c.cy") + F.col("_my")).alias("cy"), F.col("c.r").alias("r")).alias("c"))
     from .checkpoints import cut
 
-    rows, fit = rows.select(*by, "_x", "_y"), cut(fit, "circle")
-    for _ in range(rounds):
-        near = link(rows, fit)
-        d = F.nullif(F.sqrt(F.pow(F.col("_x") - F.col("c.cx"), 2) + F.pow(F.col("_y") - F.col("c.cy"), 2)), F.lit(0.0))
-        ux, uy, e = (F.col("_x") - F.col("c.cx")) / d, (F.col("_y") - F.col("c.cy")) / d, d - F.col("c.r")
-        terms = [F.lit(1.0), ux, uy, ux * ux, uy * uy, ux * uy, e, e * ux, e * uy]
-        sums = near.groupBy(*by, "c").agg(*(F.sum(t).alias(n) for t, n in zip(terms, names, strict=True)))
-        state = cut(sums.select(*by, step("c", F.array(*names)).alias("s")), "circle")
+    fit, done = cut(fit, "circle"), 0
+    few = by and fit.count() <= FEW_GROUPS
+    while done < rounds:
+        for _ in range(min(STEPS, rounds - done)):  # some steps are one job: each joins the one before it to the points
+            near = link(points, F.broadcast(fit) if few else fit)
+            d = F.nullif(F.sqrt(F.pow(F.col("_x") - F.col("c.cx"), 2) + F.pow(F.col("_y") - F.col("c.cy"), 2)), F.lit(0.0))
+            ux, uy, e = (F.col("_x") - F.col("c.cx")) / d, (F.col("_y") - F.col("c.cy")) / d, d - F.col("c.r")
+            terms = [F.lit(1.0), ux, uy, ux * ux, uy * uy, ux * uy, e, e * ux, e * uy]
+            sums = near.groupBy(*by, "c").agg(*(F.sum(t).alias(n) for t, n in zip(terms, names, strict=True)))
+            state = sums.select(*by, step("c", F.array(*names)).alias("s"))
+            fit = state.select(*by, F.struct("s.cx", "s.cy", "s.r").alias("c"))
+            done += 1
+        state = cut(state, "circle")
         fit = state.select(*by, F.struct("s.cx", "s.cy", "s.r").alias("c"))
         moved = state.agg(F.max("s.moved")).first()[0]
         if moved is None or moved < 1e-12:
