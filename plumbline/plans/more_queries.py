@@ -137,20 +137,6 @@ def face_normals_and_areas(spark, sf):
     return rounded(mesh.Mesh(s, W.part_faces(spark, sf)).face_geometry(), "nx", "ny", "nz", "area")
 
 
-@query(f"""
-with z as (select id, min(x) as a, max(x) as b from {E} group by id),
-q as (select id, a + i * 5000.0 as x from (select id, a, unnest(range(0, 200)) as i, b from z) where a + i * 5000.0 <= b),
-s as (select e.id, e.x as sx, e.y as sy, lead(e.x) over o as nx, lead(e.y) over o as ny from {E} e window o as (partition by e.id order by e.x)),
-k as (select q.id, q.x, s.* exclude (id) from q asof join s on q.id = s.id and q.x >= s.sx)
-select id, count(*) as n, round(sum(case when sx = x then sy else sy + (ny - sy) * (x - sx) / (nx - sx) end), 4) as total from k group by id
-""")
-def interpolated_totals(spark, sf):
-    s = W.event_series(spark, sf)
-    ends = s.groupBy("id").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    at = ends.select("id", "b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.col("a") + i * 5000.0)).alias("x")).filter("x <= b").select("id", "x")
-    return series.interpolate(at, s, ["id"]).groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("total"))
-
-
 @query(f"""
 with z as (select id, min(x) as a, max(x) as b from {E} group by id),
 q as (select id, a + i * 5000.0 as x from (select id, a, unnest(range(0, cast(floor((b - a) / 5000.0) as bigint) + 2)) as i, b from z) where a + i * 5000.0 <= b),
@@ -159,7 +145,7 @@ k as (select q.id, q.x, s.* exclude (id) from q asof join s on q.id = s.id and q
 select id, count(*) as n, round(sum(case when sx = x then sy else sy + (ny - sy) * (x - sx) / (nx - sx) end), 4) as total from k group by id
 """)
 def interpolated_totals_whole(spark, sf):
-    """interpolated_totals over each series to its end, not over its first 200 steps."""
+    """Sums of each series at steps of 5000 s from its first event to its end."""
     s = W.event_series(spark, sf)
     ends = s.groupBy("id").agg(F.min("x").alias("a"), F.max("x").alias("b"))
     steps = F.sequence(F.lit(0), F.floor((F.col("b") - F.col("a")) / 5000.0) + 1)

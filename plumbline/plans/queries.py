@@ -465,20 +465,15 @@ def voxel_clusters(spark, sf):
 
 
 @query("""
-with recursive n as (select distinct l_suppkey as node from lineitem),
-e as (select distinct l_suppkey as a, 1000000 + l_partkey as b from lineitem where l_quantity >= 49 and l_discount >= 0.09 and l_tax >= 0.07),
-d as (select a, b from e union select b, a from e),
-r as (select a as node, a as seen from d union select r.node, d.b from r join d on d.a = r.seen)
-select node, min(seen) as root from r group by node
-""")
-def connected_components(spark, sf):
-    rows = W.table(spark, sf, "lineitem").filter("l_quantity >= 49 and l_discount >= 0.09 and l_tax >= 0.07")
-    return graph.connected_components(rows.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")))
-
-
-@query()
+with recursive e as (select distinct l_suppkey as a, 1000000 + l_partkey as b from lineitem), d as (select a, b from e union all select b, a from e),
+r(node, root) using key (node) as (
+    select distinct a, a from d
+    union
+    select d.b, min(r.root) from r join d on d.a = r.node join recurring.r as old on old.node = d.b where r.root < old.root group by d.b)
+select node, root from r
+""")
 def connected_components_all(spark, sf):
-    """connected_components without its filter: every supplier-part link. Recursive SQL would be too slow for it."""
+    """Suppliers and parts that order lines connect: every link."""
     rows = W.table(spark, sf, "lineitem")
     return graph.connected_components(rows.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")))
 
