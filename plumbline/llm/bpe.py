@@ -43,7 +43,7 @@ def byte_letters() -> str:
 class UnitEncoder(dict):
     """unit -> its ids as packed little-endian integers. kind: byte (white space kept) or word (dropped, lower case)."""
 
-    def __init__(self, path: str, kind: str, width: int = 4, units: int = 600_000, pieces: int = 400_000):
+    def __init__(self, path: str, kind: str, width: int = 4, units: int = 300_000, pieces: int = 100_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.code, self.units, self.most_pieces = kind, {2: "H", 4: "I"}[width], units, pieces

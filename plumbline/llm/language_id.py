@@ -18,7 +18,7 @@ from .shared import where_text
 TRAIN_DOCS, TRAIN_CHARS, MOST_LANGS = 120, 1000, 1000
 #: Each language has so many raw-content dictionaries of so many bytes. A match far back costs as much as a short word, so
 #: small dictionaries tell short texts apart best; the sum over several is finer than one size in whole bytes.
-DICTIONARIES, DICTIONARY_BYTES = 3, 4000
+DICTIONARIES, DICTIONARY_BYTES = 2, 4000
 #: Texts are encoded in blocks of so many bytes, so that a long text can't outgrow the dictionary by its own history.
 BLOCK_BYTES = 4096
 NO_LETTERS = regex.compile(r"\P{L}+")
@@ -68,7 +68,7 @@ def learn(docs: DataFrame, allowed: Column | None = None, train_docs: int = TRAI
 class Classifier:
     """dictionaries: as many for each language."""
 
-    def __init__(self, dictionaries: dict[str, list[bytes]], level: int = 6):
+    def __init__(self, dictionaries: dict[str, list[bytes]], level: int = 5):
         self.langs, self.encoders = sorted(dictionaries), []
         for lang in self.langs:
             own = []
