@@ -77,8 +77,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op6_sql() -> str:
-    hit = lambda term: f"regexp_matches(u, '(^|[^a-z0-9]){term}($|[^a-z0-9])')"
-    strict = " + ".join(f"len(regexp_extract_all(u, '(^|[^a-z0-9]){t}($|[^a-z0-9])'))" for t in url_filter.STRICT)
+    # every boundary is doubled, so that two hits side by side have one each
+    found = lambda term: f"'(^|[^a-z0-9]){term.replace('-', '--')}($|[^a-z0-9])'"
+    hit = lambda term: f"regexp_matches(w, {found(term)})"
+    strict = " + ".join(f"len(regexp_extract_all(w, {found(t)}))" for t in url_filter.STRICT)
     soft = " + ".join(f"cast({hit(t)} as bigint)" for t in url_filter.SOFT)
     rules = []
     for verdict, rule in sorted(url_filter.RULES, key=lambda r: -len(r[1])):
@@ -88,9 +90,9 @@ def _op6_sql() -> str:
     verdict = "case " + " ".join(f"when {c} then '{v}'" for c, _, v in rules) + " when strict_hits > 0 or soft_terms >= 2 then 'block' else 'allow' end"
     return f"""
 with p as (
-    select page_id, lower(coalesce(url, '')) as u, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages
+    select page_id, regexp_replace(lower(coalesce(url, '')), '([^a-z0-9])', '\\1\\1', 'g') as w, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages
 ), q as (
-    select page_id, u, rest, regexp_extract(rest, '^[^/?#]*') as h from p
+    select page_id, w, rest, regexp_extract(rest, '^[^/?#]*') as h from p
 ), r as (
     select page_id, lower(h) as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path, cast({strict} as bigint) as strict_hits, cast({soft} as bigint) as soft_terms from q
 )
@@ -107,16 +109,19 @@ OP7_SQL = r"""
 with w as (
     select 'd' as side, doc_id as id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') as words from documents where text is not null
     union all
-    select 'b', item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') from benchmark where text is not null and item_id is not null
+    select 'b', item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') from benchmark where text is not null
+), z as (
+    select distinct least(len(words), 5) as n from w where side = 'b' and len(words) > 0
 ), s as (
-    select distinct side, id, array_to_string(words[k : k + 4], ' ') as shingle from (select side, id, words, unnest(range(1, len(words) - 3)) as k from w where len(words) >= 5)
+    select distinct side, id, n, array_to_string(words[k : k + n - 1], ' ') as shingle
+    from (select side, id, words, n, unnest(range(1, len(words) - n + 2)) as k from w join z on len(words) >= n and (side = 'd' or n = least(len(words), 5)))
 ), i as (
-    select min(id) as item_id, count(*) as copies, all_shingles from (select id, list(shingle order by shingle) as all_shingles from s where side = 'b' group by id) group by all_shingles
+    select min(id) as item_id, count(*) as copies, n, all_shingles from (select id, n, list(shingle order by shingle) as all_shingles from s where side = 'b' group by id, n) group by n, all_shingles
 ), j as (
-    select item_id, copies, len(all_shingles) as shingles, unnest(all_shingles) as shingle from i
+    select item_id, copies, n, len(all_shingles) as shingles, unnest(all_shingles) as shingle from i
 )
 select s.id as doc_id, item_id, count(*) / shingles as containment, count(*) as found, shingles, copies
-from j join s on s.side = 'd' and s.shingle = j.shingle group by s.id, item_id, shingles, copies having count(*) >= 0.8 * shingles - 1e-9
+from j join s on s.side = 'd' and s.n = j.n and s.shingle = j.shingle group by s.id, item_id, shingles, copies having count(*) >= 0.8 * shingles - 1e-9
 """
 
 
