@@ -128,7 +128,8 @@ def judged(rows: DataFrame, capacity: int, key) -> DataFrame:
     # adaptive execution where a key is hot; no step gathers a key's rows in one task
     shared = index.entries.filter("group_size > 1").select("h", "best")
     chain = stored(may_share(keyed.select("h", "norm", "order"), shared).join(shared, "h"), "chain")
-    heads = chain.filter(F.col("order") == F.col("best")).groupBy("h").agg(F.max("norm").alias("first"))
+    # heads are stored, as a join with an aggregate isn't split where a key is hot
+    heads = stored(chain.filter(F.col("order") == F.col("best")).groupBy("h").agg(F.max("norm").alias("first")), "heads")
     moved = None
     while True:
         # rows equal to the first row of this link leave the chain; the best of the others heads the next link
@@ -142,7 +143,7 @@ def judged(rows: DataFrame, capacity: int, key) -> DataFrame:
     if moved is not None:  # keys with several texts: their rows are summed up by text
         several = stored(moved.select("h").distinct(), "collisions")
         mixed = light.join(several, "h")
-        own = mixed.groupBy("h", "digest").agg(*summed)
+        own = stored(mixed.groupBy("h", "digest").agg(*summed), "collided")
         answer = answer.join(several, "h", "left_anti").select(columns).unionAll(mixed.join(own, ["h", "digest"]).select(columns))
     kept = F.col("row") == F.col("keep_row")
     return answer.select("doc_id", *others, "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
