@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, remove, stored
+from .shared import new_path, remove, scratch, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,14 +27,19 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-        both = state.unionAll(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        done, path = path, new_path(spark, "edges")
-        small.filter("a <> b").distinct().write.parquet(path)
-        remove(spark, done)
+        # what is joined is written first: a join with an aggregate isn't split at a hub
+        with scratch(spark) as mine:
+            both = state.unionAll(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+            large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+            large = stored(large, "large")
+            least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+            small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+            made = new_path(spark, "edges")
+            mine.remove(made)  # this one stays
+            small.filter("a <> b").distinct().write.parquet(made)
+        remove(spark, path)
+        path = made
     roots = state.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -48,7 +53,8 @@ def all_but_first(rows: DataFrame, edges: DataFrame, *name: str) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *name)
     nodes = rows.groupBy("node").agg(F.min(first).alias("first"))
     rooted = stored(nodes.join(components(edges), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
-    stays = rooted.groupBy("root").agg(F.min("first").alias("stays"))
-    judged = rows.select("node", *name).join(rooted.join(stays, "root").select("node", "stays"), "node")
+    stays = stored(rooted.groupBy("root").agg(F.min("first").alias("stays")), "stays")
+    told = stored(rooted.join(stays, "root").select("node", "stays"), "told")
+    judged = rows.select("node", *name).join(told, "node")
     stay = (F.col(name[0]) == F.col(f"stays.{name[0]}")) & (F.col(name[1]) == F.col(f"stays.{name[1]}"))
     return stored(judged.filter(~stay).select(*name), "gone")

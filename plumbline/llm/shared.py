@@ -41,14 +41,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is stored inside is removed at the end: only for work whose result is written by then."""
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is stored inside is removed at the end, but for paths taken off the list: only for work whose result is written by then."""
     made: list[str] = []
     _made.append(made)
     try:
-        yield
+        yield made
     finally:
-        _made.remove(made)
+        _made.pop()
         for path in made:
             remove(spark, path)
 
