@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .checkpoints import cut
-from .mesh import Mesh, closest, deviations, mesh_parts
+from .mesh import Mesh, closest, deviations, mesh_parts, numbered
 
 
 # ---- transforms ---------------------------------------------------------------------------------------------------------
@@ -404,16 +404,13 @@ def weights(samples: DataFrame, id_: str = "id", **columns) -> DataFrame:
 def stable_subset(points: DataFrame, key: str, share: float) -> DataFrame:
     """key of the smallest set, in stability order, that holds each of the six motions by at least a share of what all points do.
 
-    The driver bisects the number of points; each step is one aggregation of six sums over the ranked (thinned) points.
+    The driver bisects the number of points; each step is one aggregation of six sums over the ranked points.
     """
-    from .checkpoints import cut
     from .sampling import stability_order
 
     c = {n: F.col(n) for n in ("x", "y", "z", "nx", "ny", "nz")}
     parts = [c["nx"], c["ny"], c["nz"], c["y"] * c["nz"] - c["z"] * c["ny"], c["z"] * c["nx"] - c["x"] * c["nz"], c["x"] * c["ny"] - c["y"] * c["nx"]]
-    from pyspark.sql import Window
-
-    ranked = stability_order(points, key).withColumn("place", F.row_number().over(Window.orderBy("order", key)))
+    ranked = numbered(stability_order(points, key).select(key, F.struct("order", key).alias("_o")), "_o").withColumn("place", F.col("n") + 1)
     rows = cut(points.join(ranked.select(key, "place"), key).select(key, "place", *((p * p).alias(f"s{k}") for k, p in enumerate(parts))), "stability")
     n = rows.count()
     whole = rows.agg(*(F.sum(f"s{k}") for k in range(6))).first()

@@ -541,8 +541,11 @@ def closest(points: DataFrame, mesh: Mesh, key: str, part_faces: int = PART_FACE
     """key, x, y, z and the closest place on the mesh: fid, weights, point, face normal, distance. Points without finite coordinates are left out."""
     kind = dict(points.dtypes)[key]
     rows = points.select(key, *(F.col(n).cast("double").alias(n) for n in "xyz")).filter(F.abs(F.col("x") + F.col("y") + F.col("z")) < float("inf"))
-    rows, out, count = dealt(rows, key, "x", "y", "z"), None, 0
-    for shared in mesh_parts(mesh, part_faces):
+    rows, out = dealt(rows, key, "x", "y", "z"), None
+    parts = list(mesh_parts(mesh, part_faces))
+    if len(parts) > 1:
+        rows = cut(rows, "points")  # dealt once, read by each part
+    for shared in parts:
 
         def run(batches, shared=shared):
             index = shared.value
@@ -556,10 +559,10 @@ def closest(points: DataFrame, mesh: Mesh, key: str, part_faces: int = PART_FACE
                 yield pd.concat([pdf.reset_index(drop=True), res], axis=1)
 
         one = rows.mapInPandas(run, f"{key} {kind}, x double, y double, z double, {CLOSEST}")
-        out, count = one if out is None else out.unionByName(one), count + 1
+        out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("closest: the mesh has no faces")
-    if count > 1:
+    if len(parts) > 1:
         out = out.groupBy(key, "x", "y", "z").agg(F.min_by(F.struct(*(c.split()[0] for c in CLOSEST.split(", "))), F.struct("d", "fid")).alias("r")).select(key, "x", "y", "z", "r.*")
     return out
 
@@ -586,8 +589,10 @@ def ray_hits(rays: DataFrame, mesh: Mesh, key: str, max_angle: float | None = No
     kind = dict(rays.dtypes)[key]
     names = ["ox", "oy", "oz", "dx", "dy", "dz"]
     rows = dealt(rays.select(key, *(F.col(n).cast("double").alias(n) for n in names)), key, *names)
-    out = None
-    for shared in mesh_parts(mesh):
+    out, parts = None, list(mesh_parts(mesh))
+    if len(parts) > 1:
+        rows = cut(rows, "rays")
+    for shared in parts:
 
         def run(batches, shared=shared):
             index = shared.value

@@ -286,13 +286,23 @@ def rolling_ball(df: DataFrame, by: Keys, radius: float, px_size: float) -> Data
 
 
 def bilinear(df: DataFrame, queries: DataFrame, by: Keys, key: str, y: str = "y", x: str = "x") -> DataFrame:
-    """key, v at fractional (row y, col x); null where one of the four pixels around is missing."""
+    """by, key, v at fractional (row y, col x) for each query; null where one of the pixels around that weigh is missing.
+
+    The pixels are brought together to cells of four first, so each query meets its cell in one join.
+    """
+    to = F.array(*(F.struct((F.col("row").cast("long") - i).alias("r"), (F.col("col").cast("long") - j).alias("c"), F.lit(2 * i + j).alias("k")) for i in (0, 1) for j in (0, 1)))
+    spread = df.select(*by, F.col("v").cast("double").alias("v"), F.explode(to).alias("o")).select(*by, F.col("o.r").alias("_r"), F.col("o.c").alias("_c"), F.col("o.k").alias("k"), "v")
+    cells = spread.groupBy(*by, "_r", "_c").agg(*(F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"_v{k}") for k in range(4)))
     r, c = F.floor(F.col(y)).cast("long"), F.floor(F.col(x)).cast("long")
     fr, fc = F.col(y) - F.floor(F.col(y)), F.col(x) - F.floor(F.col(x))
-    corners = F.array(*(F.struct((r + i).alias("row"), (c + j).alias("col"), ((fr if i else 1 - fr) * (fc if j else 1 - fc)).alias("w")) for i in (0, 1) for j in (0, 1)))
-    need = queries.select(*by, key, F.explode(corners).alias("q")).select(*by, key, "q.row", "q.col", "q.w").filter("w > 0")
-    met = need.join(df.select(*by, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "v"), [*by, "row", "col"], "left")
-    return met.groupBy(*by, key).agg(F.when(F.count("*") == F.count("v"), F.sum(F.col("w") * F.col("v"))).alias("v"))
+    rows = queries.select(*by, key, r.alias("_r"), c.alias("_c"), fr.alias("_fr"), fc.alias("_fc"))
+    weighed = []
+    for i in (0, 1):
+        for j in (0, 1):
+            w = (F.col("_fr") if i else 1 - F.col("_fr")) * (F.col("_fc") if j else 1 - F.col("_fc"))
+            weighed.append(F.when(w > 0, w * F.col(f"_v{2 * i + j}")).otherwise(0.0))
+    value = weighed[0] + weighed[1] + weighed[2] + weighed[3]
+    return rows.join(cells, [*by, "_r", "_c"], "left").select(*by, key, value.alias("v"))
 
 
 def trace(spark, row: float, col: float, d_row: float, d_col: float, radius: int) -> DataFrame:

@@ -87,11 +87,17 @@ def stability_order(points: DataFrame, key: str) -> DataFrame:
     """key, rank_<dof> and order: how much each surface point (x, y, z, nx, ny, nz) holds each of the six degrees of freedom.
 
     The residual of a degree of freedom is how far a unit motion moves the point along its normal. A point's order is
-    its best rank over the six, then its key. Ranks are of a bounded sample of points; use it after thinning.
+    its best rank over the six, then its key. Each ranking is a sort over all tasks.
     """
+    from .mesh import numbered
+
     c = {n: F.col(n) for n in ("x", "y", "z", "nx", "ny", "nz")}
     parts = {"tx": c["nx"], "ty": c["ny"], "tz": c["nz"], "rx": c["y"] * c["nz"] - c["z"] * c["ny"], "ry": c["z"] * c["nx"] - c["x"] * c["nz"], "rz": c["x"] * c["ny"] - c["y"] * c["nx"]}
-    ranked = points.select(key, *(F.row_number().over(Window.orderBy(F.abs(e).desc(), key)).alias(f"rank_{n}") for n, e in parts.items()))
+    rows = cut(points.select(key, *((-F.abs(e)).alias(n) for n, e in parts.items())), "freedom")
+    ranked = rows.select(key)
+    for n in parts:
+        one = numbered(rows.select(key, F.struct(n, key).alias("_o")), "_o")
+        ranked = ranked.join(one.select(key, (F.col("n") + 1).alias(f"rank_{n}")), key)
     return ranked.withColumn("order", F.least(*(f"rank_{n}" for n in parts)))
 
 

@@ -614,12 +614,34 @@ def tolerance_report(spark, sf):
 
 
 # ---- what SQL can't say ------------------------------------------------------------------------------------------------------
-@query()
+@query(f"""
+with recursive thin as (
+    select key, x, y, row_number() over (order by key) as n from (select *, row_number() over (partition by floor(x / 0.75), floor(y / 0.75) order by key) as k from {PARTS}) where k = 1
+), kept as (
+    select n, [struct_pack(key := key, x := x, y := y)] as k from thin where n = 1
+    union all
+    select t.n, case when len(list_filter(kept.k, lambda q: (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) <= 9.0)) = 0 then list_append(kept.k, struct_pack(key := t.key, x := t.x, y := t.y)) else kept.k end
+    from kept join thin t on t.n = kept.n + 1
+)
+select r.key, r.x, r.y from (select unnest(k) as r from kept where n = (select max(n) from thin))
+""")
 def poisson_disk(spark, sf):
     return sampling.poisson_disk(_parts(spark, sf), "key", ("x", "y"), 3.0)
 
 
-@query()
+@query(f"""
+with recursive p as (select curve, seq, x, y, row_number() over (partition by curve order by seq) as n from {C}), s as (
+    select curve, min(n) as i, max(n) as j from p group by curve
+    union all
+    select curve, unnest([i, k]) as i, unnest([k, j]) as j from (
+        select s.curve, s.i, s.j, arg_max(p.n, struct_pack(d := sqrt((p.x - a.x - t * (b.x - a.x)) ** 2 + (p.y - a.y - t * (b.y - a.y)) ** 2), m := -p.n)) as k, max(sqrt((p.x - a.x - t * (b.x - a.x)) ** 2 + (p.y - a.y - t * (b.y - a.y)) ** 2)) as d
+        from s join p a on a.curve = s.curve and a.n = s.i join p b on b.curve = s.curve and b.n = s.j join p on p.curve = s.curve and p.n > s.i and p.n < s.j,
+            lateral (select coalesce(((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) / nullif((b.x - a.x) ** 2 + (b.y - a.y) ** 2, 0), 0) as t)
+        group by s.curve, s.i, s.j
+    ) where d > 2.0
+)
+select curve, seq, x, y from p semi join (select curve, i as n from s union select curve, j from s) k on k.curve = p.curve and k.n = p.n
+""")
 def rdp_simplify(spark, sf):
     return curves.simplify(W.order_curves(spark, sf), ["curve"], 2.0)
 
@@ -734,7 +756,20 @@ def raster_gaussian(spark, sf):
     return rounded(raster.convolve(W.price_raster(spark, sf).select("row", "col", "v"), (), raster.gaussian_kernel(1.5)), "v")
 
 
-@query()
+def _thinning_sql(steps: int) -> str:
+    """Zhang and Suen's two conditions in turn, written out; more steps than the mask is thick change nothing."""
+    around = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    side = "values " + ", ".join(f"({i}, {r}, {c})" for i, (r, c) in enumerate(around))
+    out = [f"o(i, r, c) as ({side})", f"a0 as materialized (select row, col from {R})"]
+    for k in range(2 * steps):
+        free = "not (n[1] and n[3] and n[7]) and not (n[1] and n[5] and n[7])" if k % 2 else "not (n[1] and n[3] and n[5]) and not (n[3] and n[5] and n[7])"
+        turns = " + ".join(f"(not n[{i + 1}] and n[{(i + 1) % 8 + 1}])::int" for i in range(8))
+        near = f"select a.row, a.col, list(b.row is not null order by o.i) as n from a{k} a cross join o left join a{k} b on b.row = a.row + o.r and b.col = a.col + o.c group by a.row, a.col"
+        out.append(f"a{k + 1} as materialized (select row, col from ({near}) where not (len(list_filter(n, lambda x: x)) between 2 and 6 and {turns} = 1 and {free}))")
+    return f"with {', '.join(out)} select row, col from a{2 * steps}"
+
+
+@query(_thinning_sql(40))
 def raster_thinning(spark, sf):
     return raster.thin(W.price_raster(spark, sf).select("row", "col"), ())
 

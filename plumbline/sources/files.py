@@ -411,9 +411,12 @@ def save_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value")).write.text(path, lineSep="\n")
 
 
-def json_of(df: DataFrame) -> list[dict]:
-    """A few rows as plain objects."""
-    return [json.loads(r) for r in df.toJSON().collect()]
+def json_of(df: DataFrame, most: int = 100_000) -> list[dict]:
+    """Rows as plain objects; a table of more than most rows is an error (save_json writes those)."""
+    rows = df.limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise ValueError(f"json_of: over {most} rows")
+    return [json.loads(r) for r in rows]
 
 
 def clean_scan(points: DataFrame, y_step: float, gap_steps: float = 100.0, bad_edge_count: int = 3) -> DataFrame:
