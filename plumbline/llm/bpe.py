@@ -41,17 +41,23 @@ def byte_letters() -> str:
 
 
 class UnitEncoder(dict):
-    """unit -> its ids as packed little-endian integers. kind: byte (white space kept) or word (dropped, lower case)."""
+    """unit -> its ids as packed little-endian integers. kind: byte (white space kept) or word (dropped, lower case).
 
-    def __init__(self, path: str, kind: str, width: int = 4, units: int = 300_000, pieces: int = 100_000):
+    When units are known, they become the old ones and a new generation begins; what is met again comes back from the old
+    ones, so that frequent units stay and memory is bounded by two generations.
+    """
+
+    def __init__(self, path: str, kind: str, width: int = 4, units: int = 500_000, pieces: int = 100_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.code, self.units, self.most_pieces = kind, {2: "H", 4: "I"}[width], units, pieces
-        self.split, self.model, self.pieces = regex.compile(SPLIT[kind]), self.tokenizer.model, {}
+        self.split, self.model, self.pieces, self.old = regex.compile(SPLIT[kind]), self.tokenizer.model, {}, {}
         self.letters = byte_letters()
+        self.space = self.letters[32]
+        self.packers = [struct.Struct(f"<{n}{self.code}").pack for n in range(64)]
 
     def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return self.packers[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -60,14 +66,28 @@ class UnitEncoder(dict):
         spelled = text.encode().decode("latin-1").translate(self.letters)
         return self.pack([t.id for t in self.model.tokenize(spelled)])
 
+    def plain(self, unit: bytes) -> bytes:
+        """Of a unit of Latin letters, with a space before it or none: one piece."""
+        if self.kind == "byte":
+            spelled = unit.decode("latin-1").translate(self.letters)
+        elif unit.isascii():
+            spelled = unit.lower().decode()
+        else:
+            return self.piece(unicodedata.normalize("NFC", unit.decode()).lower())
+        return self.pack([t.id for t in self.model.tokenize(spelled)])
+
     def __missing__(self, unit: bytes) -> bytes:
-        if plain := PLAIN.fullmatch(unit):
-            if plain[2]:
-                ids = self[plain[1]] + self[plain[2]]
-            else:
-                text = unit.decode()
-                ids = self.piece(text if self.kind == "byte" else unicodedata.normalize("NFC", text).lower())
+        ids = self.old.get(unit)
+        if ids is not None:
             return self.keep(unit, ids)
+        word = unit[1:] if unit[:1] == b" " else unit
+        if word.isalpha():  # ASCII letters spell themselves
+            spelled = word.lower().decode() if self.kind == "word" else word.decode() if word is unit else self.space + word.decode()
+            return self.keep(unit, self.pack([t.id for t in self.model.tokenize(spelled)]))
+        if found := PLAIN.fullmatch(unit):
+            return self.keep(unit, self[found[1]] + self[found[2]] if found[2] else self.plain(unit))
+        if unit[:1] == b"\n" and unit[1:2] != b" " and PLAIN.fullmatch(unit, 1):  # a line end is a piece of its own before a word
+            return self.keep(unit, self[b"\n"] + self[unit[1:]])
         text = unit.decode()
         if ODD.search(text):
             raise _Odd
@@ -90,6 +110,7 @@ class UnitEncoder(dict):
     def keep(self, unit: bytes, ids: bytes) -> bytes:
         if len(unit) < 200:
             if len(self) >= self.units:
+                self.old = self.copy()
                 self.clear()
             self[unit] = ids
         return ids

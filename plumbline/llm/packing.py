@@ -99,10 +99,10 @@ def crossover(lengths: list[int], a: list[list[int]], b: list[list[int]], capaci
     kept, displaced = [], []
     for x in a:
         if taken.isdisjoint(x):
-            kept.append(x)
+            kept.append((-sum(map(length, x)), len(kept), x))
         else:
             displaced += [i for i in x if i not in taken]
-    kept.sort(key=lambda x: -sum(map(length, x)))
+    kept = [x for _, _, x in sorted(kept)]
     opened = max(1, len(kept) // 10) if kept else 0
     displaced += [i for x in kept[len(kept) - opened :] for i in x]
     kept = kept[: len(kept) - opened]
@@ -123,7 +123,7 @@ def evolve(lengths: list[int], capacity: int, immigrants: list[list[list[int]]],
     if done:
         return done[:1]
     falling = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    people = [*immigrants, best_fit(lengths, falling, capacity)]
+    people = [*immigrants] or [best_fit(lengths, falling, capacity)]  # what comes in is no worse
     if len(people[-1]) > least:
         while len(people) < population:  # falling order, with neighbours exchanged
             key = {i: -lengths[i] * rng.uniform(0.9, 1.1) for i in falling}
