@@ -305,7 +305,7 @@ def raster_without_border(spark, sf):
 @query(f"""
 with recursive f as (select row, col from (values (45, 25)) t(row, col) union
     select n.row, n.col from f, (values (-1, 0), (1, 0), (0, -1), (0, 1)) o(i, j), lateral (select f.row + o.i as row, f.col + o.j as col) n join {R} r on r.row = n.row and r.col = n.col where r.n >= 8)
-select count(*) as n, min(row) as low, max(row) as high, sum(col)::bigint as cols from f
+select count(*) as n, min(row)::bigint as low, max(row)::bigint as high, sum(col)::bigint as cols from f
 """)
 def raster_flooded(spark, sf):
     dense = W.price_raster(spark, sf).filter((F.col("n") >= 8) | ((F.col("row") == 45) & (F.col("col") == 25))).select("row", "col")
