@@ -40,6 +40,21 @@ def clash(odd):
     return odd.withColumns({n: F.lit("x") for n in names})
 
 
+def test_units_between_spaces(monkeypatch):
+    """Texts of single spaces and line ends need no pattern to find units; other white space gives the library's ids too."""
+    rng = random.Random(8)
+    words = ["a", "Foo", "it's", "naïve,", "é", "x1", "12", "?!", "ª", "日本", "-", "e\u0301", "end.", "\u00a0"]
+    white = [" ", " ", " ", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\r\n", "\x0b"]
+    texts = ["".join(rng.choice((*words, "")) + rng.choice(white) for _ in range(rng.randrange(12))) + rng.choice((*words, "")) for _ in range(3000)]
+    for path, kind in ((BYTE, "byte"), (WORD, "word")):
+        encoder = bpe.UnitEncoder(path, kind, units=40, pieces=20)
+        assert [t for t in texts if encoder.encode(t) != encoder.whole(t)] == []
+    encoder = bpe.UnitEncoder(BYTE, "byte")
+    monkeypatch.setattr(bpe, "UNIT", None)
+    for t in ("One two,\nthree naïve: x1 it's", "one"):
+        assert encoder.encode(t) == encoder.whole(t)
+
+
 def test_encoders_match_the_library():
     rng = random.Random(3)
     letters = "abcXYZéÑß 's't12²½ \n\t,.-_" + "日\u00a0\u2028\u200bİ"
