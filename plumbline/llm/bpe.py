@@ -179,8 +179,13 @@ _encoders: dict[tuple, UnitEncoder] = {}
 
 
 def encoder(path: str, kind: str, width: int = 4) -> UnitEncoder:
-    """One for each Python worker; its cache lasts over tasks."""
+    """One for each Python worker; its cache lasts over tasks, until forget()."""
     key = (path, kind, width)
     if key not in _encoders:
         _encoders[key] = UnitEncoder(path, kind, width)
     return _encoders[key]
+
+
+def forget() -> None:
+    """This worker's encoders go, with what they have cached (some 200 MB when full); the next encoder() loads them again."""
+    _encoders.clear()

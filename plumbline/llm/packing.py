@@ -16,11 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import stored
+from .shared import in_parts, small_batches, stored
+
+PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 # ---- one block ----------------------------------------------------------------------------------------------------
@@ -201,27 +204,31 @@ def pack_blocks(items: DataFrame, capacity: int, islands: int = 2, epochs: int =
 
 
 # ---- documents ----------------------------------------------------------------------------------------------------
+def cut_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, kind: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
+    """What cut() makes of batches (doc_id, text); texts are taken out of them a few at a time."""
+    encode = bpe.encoder(vocabulary, kind).encode
+    end = int(end_id).to_bytes(4, "little")
+    for part in in_parts(batches):
+        rows = []
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            ids = encode(text) + end
+            n = len(ids) // 4
+            a, piece = 0, 0
+            b = n % capacity or min(n, capacity)
+            while a < n:
+                rows.append((doc_id, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                a, b, piece = b, b + capacity, piece + 1
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), PIECES.types, strict=True)], schema=PIECES)
+
+
 def cut(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) of all documents. Only documents of over capacity ids are cut; the first piece may be shorter."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = bpe.encoder(vocabulary, kind).encode
-        end = int(end_id).to_bytes(4, "little")
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text if isinstance(text, str) else None) + end
-                n = len(ids) // 4
-                a, piece = 0, 0
-                b = n % capacity or min(n, capacity)
-                while a < n:
-                    rows.append((doc_id, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-                    a, b, piece = b, b + capacity, piece + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.assign(doc_id=pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], dtype="Int64"))
-
-    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return cut_batches(batches, vocabulary, kind, end_id, capacity)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 2, capacity: int = 1024, block_size: int = 4096, open_below: float = 0.98) -> DataFrame:
@@ -231,7 +238,8 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 2,
     end_id alone; documents with a null or a repeated doc_id are documents like others; an empty table gives no rows;
     further columns of docs are ignored. Pieces of full length are a sequence each, without shuffle.
     """
-    pieces = stored(cut(docs, vocabulary, kind, end_id, capacity).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    with small_batches(docs.sparkSession):  # beside the encoders' caches
+        pieces = stored(cut(docs, vocabulary, kind, end_id, capacity).withColumn("pid", F.monotonically_increasing_id()), "pieces")
     full = pieces.filter(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("pid") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = pieces.filter(F.col("length") < capacity).select("pid", "length")
 

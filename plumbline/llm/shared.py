@@ -10,8 +10,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
+
 #: Rows of two numbers that may go to every task (some 60 bytes each there); more are joined by shuffle.
 BROADCAST_ROWS = 1 << 18
+#: Rows that a Python worker gets and holds at a time under small_batches().
+BATCH_ROWS = 1000
 #: The paths that scratch() will remove.
 _made: list[list[str]] = []
 
@@ -88,19 +92,44 @@ def without_rows(docs: DataFrame, gone: DataFrame, *names: str) -> DataFrame:
     return docs.join(F.broadcast(gone) if small else gone, list(names), "left_anti")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Tables of texts that run inside reach Python rows at a time, where Spark takes 10,000: some 60 MB of documents, held by
+    the JVM and by the worker of each task. The same rows arrive; the session's own number holds again at the end."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def in_parts(batches, rows: int = 256):
+    """Arrow batches cut into parts, so that a worker holds what it makes of few texts at a time.
+
+    What Arrow keeps of batches that are done goes back to the system: it would stay with the worker until that ends."""
+    import pyarrow as pa
+
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def where_text(docs: DataFrame, judge) -> DataFrame:
     """The rows of docs whose text judge() accepts, as they are; judge: () -> function of a text (None for null) -> bool.
 
-    judge() is called once for each task, where what it holds is loaded."""
+    judge() is called once for each task, where what it holds is loaded. Encoders that an earlier step left in the worker go."""
 
     def run(batches):
         import pyarrow as pa
 
+        bpe.forget()
         accepts = judge()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):  # few texts at a time are held twice
-                part = batch.slice(a, 256)
-                yield part.filter(pa.array([accepts(t) for t in part.column(column).to_pylist()], pa.bool_()))
+        for part in in_parts(batches):
+            yield part.filter(pa.array([accepts(t) for t in part.column(column).to_pylist()], pa.bool_()))
 
     column = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)

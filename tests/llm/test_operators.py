@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -13,7 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from plumbline.llm import bpe, decontaminate, exact_dedup, language_id, near_copies, packing, quotes, secret_scan, simhash, token_counts, token_store, url_filter
 from plumbline.llm.components import components
-from plumbline.llm.shared import new_path
+from plumbline.llm.shared import BATCH_ROWS, new_path, small_batches, where_text
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -563,3 +565,54 @@ def test_stages_on_empty_tables(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, "/root/testdata/sf0.001")
     assert frame.count() == 0 and "sequence_id" in frame.columns
+
+
+class _Table:
+    """Stands for a table of texts: hands out the function that its tasks would run."""
+
+    columns, schema = ["doc_id", "text"], None
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_cut_holds_few_texts_at_a_time(spark):
+    """A worker makes strings of a few texts of a batch at a time; batches of packing are small, and the session's own number holds again."""
+    text = " ".join(f"w{k % 97}" for k in range(1000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([None, *range(1, 5000)], pa.int64()), "text": [None, *[text] * 4999]})
+    list(packing.cut_batches(iter([batch.slice(0, 2)]), BYTE, "byte", 2, 1024))  # the encoder is loaded
+    tracemalloc.start()
+    try:
+        n = sum(part.num_rows for part in packing.cut_batches(iter([batch]), BYTE, "byte", 2, 1024))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    ids = Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+    assert n == 1 + 4999 * -(-(len(ids) + 1) // 1024)
+    assert peak < 0.5 * 5000 * len(text)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(KeyError), small_batches(spark):
+        sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) == 5000 and max(r.n for r in sizes) <= BATCH_ROWS
+        raise KeyError
+    assert spark.conf.get(key) == before
+    seen = []
+    table = spark.createDataFrame([(k, "a b") for k in range(3)], "doc_id long, text string")
+    write = packing.stored
+    try:
+        packing.stored = lambda df, name: (seen.append((name, int(spark.conf.get(key)))), write(df, name))[1]
+        packing.pack(table, BYTE)
+    finally:
+        packing.stored = write
+    assert dict(seen)["pieces"] <= BATCH_ROWS and spark.conf.get(key) == before
+
+
+def test_stages_leave_no_encoder_in_the_worker():
+    """A worker that goes on to another stage of the pipeline drops the encoders' caches of an earlier packing."""
+    bpe.encoder(BYTE, "byte").encode("some words that are cached")
+    assert any(map(len, bpe._encoders.values()))
+    run = where_text(_Table(), lambda: lambda text: not bpe._encoders)
+    kept = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": ["x"] * 600})])))
+    assert sum(part.num_rows for part in kept) == 600 and max(part.num_rows for part in kept) <= 256
+    assert bpe.encoder(BYTE, "byte").encode("a b") == b"".join(i.to_bytes(4, "little") for i in Tokenizer.from_file(BYTE).encode("a b", add_special_tokens=False).ids)
