@@ -23,6 +23,8 @@ from .graph import chain, directed_edges
 
 #: Faces that are shipped to a task at once (some 100 MB).
 PART_FACES = 1_000_000
+#: Rows of a table that goes to every task of a join.
+DIRECTORY = 262_144
 
 
 @dataclass
@@ -690,16 +692,27 @@ def outline(mesh: Mesh, facing: Sequence[float], corner_angle: float = math.pi /
 
 
 def uv_lookup(queries: DataFrame, uv: DataFrame, key: str) -> DataFrame:
-    """key, fid, w0, w1, w2 of the triangle (fid, u0, v0, u1, v1, u2, v2) that holds each (u, v), by grid cells of the median size."""
+    """key, u, v, fid, w0, w1, w2 of the triangle (fid, u0, v0, u1, v1, u2, v2) that holds each different (key, u, v), the
+    smallest fid of several.
+
+    Triangles are dealt to the grid cells of their mean size that they touch. Up to DIRECTORY entries go to every task, so
+    that the places, which may all lie in a few cells, only move once, by all their columns; beyond that it is a shuffle.
+    """
+    ux, uy, vx, vy = F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0"), F.col("u2") - F.col("u0"), F.col("v2") - F.col("v0")
+    det = ux * vy - uy * vx
+    # weights are products with what is made here once for each triangle; one without area holds no place
+    uv = cut(uv.filter(det * det >= V.EPS).select("*", (vy / det).alias("_a1"), (-vx / det).alias("_b1"), (-uy / det).alias("_a2"), (ux / det).alias("_b2")), "uv")
     box = uv.agg(F.avg(F.greatest("u0", "u1", "u2") - F.least("u0", "u1", "u2")).alias("w")).first()["w"] or 1.0
-    size = max(box * 2, 1e-12)
+    size = max(box, 1e-12)
     span = lambda c: F.sequence(F.floor(F.least(*(F.col(f"{c}{k}") for k in range(3))) / size).cast("long"), F.floor(F.greatest(*(F.col(f"{c}{k}") for k in range(3))) / size).cast("long"))
-    dealt = uv.withColumn("_u", F.explode(span("u"))).withColumn("_v", F.explode(span("v")))
+    own = ["fid", "u0", "v0", "_a1", "_b1", "_a2", "_b2"]
+    dealt = cut(uv.withColumn("_u", F.explode(span("u"))).withColumn("_v", F.explode(span("v"))).select("_u", "_v", *own), "cells")
+    shared = F.broadcast if dealt.count() <= DIRECTORY else lambda df: df
+    du, dv = F.col("u") - F.col("u0"), F.col("v") - F.col("v0")
+    w1, w2 = du * F.col("_a1") + dv * F.col("_b1"), du * F.col("_a2") + dv * F.col("_b2")
     q = queries.select(key, "u", "v", F.floor(F.col("u") / size).cast("long").alias("_u"), F.floor(F.col("v") / size).cast("long").alias("_v"))
-    w = V.barycentric(V.vec("u0", "v0"), V.vec("u1", "v1"), V.vec("u2", "v2"), V.vec("u", "v"))
-    met = q.join(dealt, ["_u", "_v"]).select(key, "fid", *(x.alias(f"w{k}") for k, x in enumerate(w)))
-    inside = reduce(lambda a, b: a & b, (F.col(f"w{k}") >= -1e-9 for k in range(3)))
-    return met.filter(inside & (F.col("w0") + F.col("w1") + F.col("w2") > 0.5)).groupBy(key).agg(F.min_by(F.struct("fid", "w0", "w1", "w2"), "fid").alias("r")).select(key, "r.*")
+    met = q.join(shared(dealt), ["_u", "_v"]).filter((w1 >= -1e-9) & (w2 >= -1e-9) & (w1 + w2 <= 1 + 1e-9)).groupBy(key, "u", "v").agg(F.min("fid").alias("fid"))
+    return met.join(shared(uv.select(*own)), "fid").select(key, "u", "v", "fid", (1.0 - w1 - w2).alias("w0"), w1.alias("w1"), w2.alias("w2"))
 
 
 def project_to_uv(points: DataFrame, mesh: Mesh, uv: DataFrame, key: str, max_dist: float | None = None) -> DataFrame:
@@ -715,11 +728,14 @@ def project_to_uv(points: DataFrame, mesh: Mesh, uv: DataFrame, key: str, max_di
 
 
 def uv_to_3d(queries: DataFrame, mesh: Mesh, uv: DataFrame, key: str) -> DataFrame:
-    """key, fid, x, y, z of the mesh at texture places (key, u, v); places outside all triangles are left out."""
+    """key, fid, x, y, z of the mesh at the different texture places (key, u, v); places outside all triangles are left out."""
     tri = mesh.faces
     for k, n in enumerate("abc"):
         tri = tri.join(uv.select(F.col("vid").alias(n), F.col("u").alias(f"u{k}"), F.col("v").alias(f"v{k}")), n)
-    met = uv_lookup(queries, tri.select("fid", *(f"{c}{k}" for k in range(3) for c in "uv")), key).join(mesh.corners(), "fid")
+    corners = mesh.corners()
+    if mesh.faces.count() <= DIRECTORY:
+        corners = F.broadcast(corners)
+    met = uv_lookup(queries, tri.select("fid", *(f"{c}{k}" for k in range(3) for c in "uv")), key).join(corners, "fid")
     return met.select(key, "fid", *(sum((F.col(f"{c}{k}") * F.col(f"w{k}") for k in range(3)), F.lit(0.0)).alias(c) for c in "xyz"))
 
 
