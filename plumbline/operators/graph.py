@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checkpoints import cut
-from .joins import radius_join
+from .joins import finite, neighbours
+
+
+def fingerprint(links: DataFrame) -> tuple:
+    """Tells sets of different links (a, b) apart, of any size: a sum of hashes would leave 64 bits."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
@@ -21,7 +26,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, round
     state = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b").distinct(), "links")
     before = None
     for _ in range(rounds):
-        now = tuple(state.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+        now = fingerprint(state)
         if now == before:
             break
         before = now
@@ -42,15 +47,17 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, round
 def cluster_points(points: DataFrame, key: str, names: Sequence[str], tol: float) -> DataFrame:
     """key, cluster (its smallest key): points linked by steps of at most tol.
 
-    Only one link a point is needed inside a grid cell whose diagonal is below tol, so a dense spot emits few pairs.
+    Only one link a point is needed inside a grid cell whose diagonal is below tol, and one for two such cells that hold
+    points within tol: different places are compared, and what leaves a task is cells' smallest keys, not pairs of points.
     """
     fine = tol / len(names) ** 0.5 * 0.999
-    cells = points.select(key, *names, *(F.floor(F.col(n) / fine).cast("long").alias(f"_f{i}") for i, n in enumerate(names)))
     ids = [f"_f{i}" for i in range(len(names))]
-    heads = cells.groupBy(*ids).agg(F.min(key).alias("_head"))
-    members = cells.join(heads, ids).select(F.col(key).cast("long").alias("a"), F.col("_head").cast("long").alias("b"))
-    near = radius_join(points, points, key, key, names, tol).filter(F.col(key) < F.col(f"{key}_2"))
-    links = members.filter("a <> b").unionAll(near.select(F.col(key).cast("long").alias("a"), F.col(f"{key}_2").cast("long").alias("b")))
+    cells = finite(points, names).select(F.col(key).cast("long").alias("a"), *(F.col(n).cast("double").alias(n) for n in names), *(F.floor(F.col(n) / fine).cast("long").alias(i) for n, i in zip(names, ids, strict=True)))
+    heads = cells.groupBy(*ids).agg(F.min("a").alias("b"))
+    members = cells.join(heads, ids)
+    places = cut(members.groupBy(*names).agg(F.min("b").alias("head")), "places")
+    near = neighbours(places, places, names, tol).filter("_l_head < _r_head").select(F.col("_l_head").alias("a"), F.col("_r_head").alias("b")).distinct()
+    links = members.select("a", "b").filter("a <> b").unionAll(near)
     return connected_components(links, points.select(F.col(key).cast("long").alias("node"))).select(F.col("node").alias(key), F.col("root").alias("cluster"))
 
 

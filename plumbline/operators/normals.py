@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import radius_join
+from .checkpoints import cut
+from .joins import finite, neighbours
 from .mesh import Mesh
 
 SUMS = ["n", "x", "y", "z", "xx", "yy", "zz", "xy", "xz", "yz"]
@@ -26,10 +27,10 @@ def _plane(s: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c, vectors[:, :, 0], flat
 
 
-def _sums_of(prefix: str) -> list:
+def _sums_of(prefix: str, weight: Column | None = None) -> list:
     x, y, z = (F.col(f"{prefix}{c}") for c in "xyz")
     terms = [F.lit(1.0), x, y, z, x * x, y * y, z * z, x * y, x * z, y * z]
-    return [F.sum(t).alias(f"_s{k}") for k, t in enumerate(terms)]
+    return [F.sum(t if weight is None else t * weight).alias(f"_s{k}") for k, t in enumerate(terms)]
 
 
 def _normal(s: pd.Series, guide: pd.Series) -> pd.DataFrame:
@@ -45,16 +46,16 @@ def estimate_normals(points: DataFrame, key: str, radius: float, guide=("0.0", "
     """key, nx, ny, nz, confidence: the normal of the plane through the points within radius, turned to the guide's side.
 
     guide: three columns (or numbers as text). Fewer than three neighbours: (0, 0, 1) and confidence 0. Sums are taken
-    around each point itself, so that far-off coordinates lose no digits.
+    around each point itself, so that far-off coordinates lose no digits. Equal points are one, with their number as weight.
     """
-    pairs = radius_join(points, points, key, key, ("x", "y", "z"), radius)
-    own = points.select(key, *(F.col(c).cast("double").alias(f"_p{c}") for c in "xyz"))
-    other = points.select(F.col(key).alias(f"{key}_2"), *(F.col(c).cast("double").alias(f"_q{c}") for c in "xyz"))
-    local = pairs.join(own, key).join(other, f"{key}_2").select(key, *((F.col(f"_q{c}") - F.col(f"_p{c}")).alias(f"_d{c}") for c in "xyz"))
-    sums = local.groupBy(key).agg(*_sums_of("_d"))
-    to = points.select(key, F.array(*(F.expr(g).cast("double") for g in guide)).alias("_g"))
+    names = ["x", "y", "z"]
+    exact = [F.col(c).cast("double").alias(c) for c in names]
+    places = cut(finite(points, names).select(*exact).groupBy(*names).agg(F.count("*").cast("double").alias("n")), "places")
+    local = neighbours(places, places, names, radius).select(*(F.col(f"_l_{c}").alias(c) for c in names), F.col("_r_n").alias("_w"), *((F.col(f"_r_{c}") - F.col(f"_l_{c}")).alias(f"_d{c}") for c in names))
+    sums = local.groupBy(*names).agg(*_sums_of("_d", F.col("_w")))
+    to = points.select(F.col(key).alias("_key"), *exact, F.array(*(F.expr(g).cast("double") for g in guide)).alias("_g"))
     normal = F.pandas_udf(_normal, "struct<nx:double,ny:double,nz:double,confidence:double>")
-    return sums.join(to, key).select(key, normal(F.array(*(f"_s{k}" for k in range(10))), "_g").alias("r")).select(key, "r.*")
+    return to.join(sums, names).select(F.col("_key").alias(key), normal(F.array(*(f"_s{k}" for k in range(10))), "_g").alias("r")).select(key, "r.*")
 
 
 def _drop(s: pd.Series, p: pd.Series) -> pd.DataFrame:

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import mesh
+from plumbline.llm import components
+from plumbline.operators import graph, joins, mesh, normals
 
 
 def test_texture_lookup_keeps_each_place_and_stays_narrow(spark):
@@ -14,3 +15,56 @@ def test_texture_lookup_keeps_each_place_and_stays_narrow(spark):
     assert got == [(1, 5.0, 45.0, 0.0), (1, 25.0, 12.5, 0.0), (2, 10.0, 10.0, 0.0)]
     # a few cells hold all places: they aren't dealt out by cell
     assert "hashpartitioning(_u" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_of_many_links_fit(spark):
+    links = spark.range(1 << 25).select(F.col("id").alias("a"), (F.col("id") * 7).alias("b"))
+    assert graph.fingerprint(links)[0] == 1 << 25
+    assert components.fingerprint(links)[0] == 1 << 25
+
+
+def test_copies_are_one_place_in_space(spark):
+    # 60 copies of 50 places: all pairs come, made from the pairs of places
+    pts = spark.range(3000).select("id", (F.col("id") % 50).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    found = joins.radius_join(pts, pts, "id", "id", ("x", "y"), 1.0, digits=3)
+    assert found.groupBy("d").count().orderBy("d").collect() == [(0.0, 50 * 3600), (1.0, 98 * 3600)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.index("Generate explode(_r__keys") < plan.index("SortMergeJoin")
+    assert joins.places(pts, "id", ("x", "y")).count() == 50
+    assert joins.places(pts.withColumn("x", F.lit(0.0)), "id", ("x", "y")).count() == 12
+
+
+def test_nearest_of_copies_need_no_pairs_of_copies(spark, monkeypatch):
+    pts = spark.range(3000).select("id", (F.col("id") % 50).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    rows, near = [], joins.neighbours
+    monkeypatch.setattr(joins, "neighbours", lambda a, b, *more: rows.append((a.count(), b.count())) or near(a, b, *more))
+    found = joins.knn_join(pts, pts, "id", "id", ("x", "y"), 3, 2.0)
+    assert rows[0] == (50, 150)
+    assert sorted(r["id_2"] for r in found.filter("id = 2999").collect()) == [49, 99, 149] and found.count() == 9000
+    over = joins.overlap_by_reciprocity(pts, pts, "id", ("x", "y"), 0.5, 2.0)
+    assert over.count() == 3000 and max(b for _, b in rows) <= 150
+
+
+def test_normals_of_copies_count_them(spark):
+    pts = spark.range(400).select("id", (F.col("id") % 4 % 2).cast("double").alias("x"), F.floor(F.col("id") % 4 / 2).cast("double").alias("y"), F.col("id") % 4 % 2 * 0.5)
+    pts = pts.toDF("id", "x", "y", "z").unionByName(spark.createDataFrame([(900, 50.0, 0.0, 0.0), (901, 50.0, 0.0, 0.0)], "id long, x double, y double, z double"))
+    found = normals.estimate_normals(pts, "id", 3.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 402 and plan.count("Join") == 2  # places with places, then each row with its place's sums
+    n = {r["id"]: (round(r["nx"], 6), round(r["ny"], 6), round(r["nz"], 6)) for r in found.collect()}
+    assert n[900] == n[901] == (0.0, 0.0, 1.0)
+    assert n[0] == n[399] == (round(-0.5 / 1.25**0.5, 6), 0.0, round(1 / 1.25**0.5, 6))
+
+
+def test_clusters_link_cells_not_points(spark, monkeypatch):
+    pts = spark.range(2000).select("id", (F.col("id") % 40 * 0.1).alias("x"), F.lit(0.0).alias("y")).unionByName(spark.createDataFrame([(5000, 90.0, 0.0)], "id long, x double, y double"))
+    links, comp = [], graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda e, n: links.append(e.count()) or comp(e, n))
+    got = graph.cluster_points(pts, "id", ("x", "y"), 1.0).groupBy("cluster").count().orderBy("cluster").collect()
+    assert got == [(0, 2000), (5000, 1)] and links[0] < 2100
+
+
+def test_counts_in_sparse_clouds_repeat_little(spark):
+    pts = spark.range(2000).select("id", (F.col("id") % 45).cast("double").alias("x"), (F.col("id") * 0.001).alias("y"))
+    counts = joins.radius_counts(pts, pts, "id", ("x", "y"), 0.0005)
+    assert counts.filter("n = 1").count() == 2000
