@@ -546,7 +546,7 @@ def closest(points: DataFrame, mesh: Mesh, key: str, part_faces: int = PART_FACE
     rows, out = dealt(rows, key, "x", "y", "z"), None
     parts = list(mesh_parts(mesh, part_faces))
     if len(parts) > 1:
-        rows = cut(rows, "points")  # dealt once, read by each part
+        rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "points")  # dealt once, read by each part; numbered, as rows may repeat
     for shared in parts:
 
         def run(batches, shared=shared):
@@ -560,12 +560,12 @@ def closest(points: DataFrame, mesh: Mesh, key: str, part_faces: int = PART_FACE
                 res.insert(0, "fid", index.fid[face])
                 yield pd.concat([pdf.reset_index(drop=True), res], axis=1)
 
-        one = rows.mapInPandas(run, f"{key} {kind}, x double, y double, z double, {CLOSEST}")
+        one = rows.mapInPandas(run, f"{key} {kind}, x double, y double, z double, {'_row long, ' if len(parts) > 1 else ''}{CLOSEST}")
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("closest: the mesh has no faces")
     if len(parts) > 1:
-        out = out.groupBy(key, "x", "y", "z").agg(F.min_by(F.struct(*(c.split()[0] for c in CLOSEST.split(", "))), F.struct("d", "fid")).alias("r")).select(key, "x", "y", "z", "r.*")
+        out = out.groupBy("_row").agg(F.min_by(F.struct(key, "x", "y", "z", *(c.split()[0] for c in CLOSEST.split(", "))), F.struct("d", "fid")).alias("r")).select("r.*")
     return out
 
 
@@ -586,14 +586,14 @@ def within_tolerance(points: DataFrame, mesh: Mesh, key: str, max_dist: float, m
     return found.filter(ok).select(key)
 
 
-def ray_hits(rays: DataFrame, mesh: Mesh, key: str, max_angle: float | None = None) -> DataFrame:
-    """key, t, fid, x, y, z of the first hit of each ray (ox, oy, oz, dx, dy, dz); misses are left out."""
+def ray_hits(rays: DataFrame, mesh: Mesh, key: str, max_angle: float | None = None, part_faces: int = PART_FACES) -> DataFrame:
+    """key, t, fid, x, y, z of the first hit of each ray (ox, oy, oz, dx, dy, dz), also of rays with the same key; misses are left out."""
     kind = dict(rays.dtypes)[key]
     names = ["ox", "oy", "oz", "dx", "dy", "dz"]
-    rows = dealt(rays.select(key, *(F.col(n).cast("double").alias(n) for n in names)), key, *names)
-    out, parts = None, list(mesh_parts(mesh))
+    rows = dealt(rays.select(key, *(F.col(n).cast("double").alias(n) for n in names)), key, *names).withColumn("_row", F.lit(0).cast("long"))
+    out, parts = None, list(mesh_parts(mesh, part_faces))
     if len(parts) > 1:
-        rows = cut(rows, "rays")
+        rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "rays")  # numbered, as keys may repeat
     for shared in parts:
 
         def run(batches, shared=shared):
@@ -603,11 +603,13 @@ def ray_hits(rays: DataFrame, mesh: Mesh, key: str, max_angle: float | None = No
                 t, face = index.first_hits(o, d, max_angle)
                 ok = np.isfinite(t)
                 place = o[ok] + d[ok] * t[ok, None]
-                yield pd.DataFrame({key: pdf[key].to_numpy()[ok], "t": t[ok], "fid": index.fid[face[ok]], "x": place[:, 0], "y": place[:, 1], "z": place[:, 2]})
+                yield pd.DataFrame({"_row": pdf["_row"].to_numpy()[ok], key: pdf[key].to_numpy()[ok], "t": t[ok], "fid": index.fid[face[ok]], "x": place[:, 0], "y": place[:, 1], "z": place[:, 2]})
 
-        one = rows.mapInPandas(run, f"{key} {kind}, t double, fid long, x double, y double, z double")
+        one = rows.mapInPandas(run, f"_row long, {key} {kind}, t double, fid long, x double, y double, z double")
         out = one if out is None else out.unionByName(one)
-    return out.groupBy(key).agg(F.min_by(F.struct("t", "fid", "x", "y", "z"), F.struct("t", "fid")).alias("r")).select(key, "r.*")
+    if len(parts) == 1:
+        return out.drop("_row")
+    return out.groupBy("_row").agg(F.min_by(F.struct(key, "t", "fid", "x", "y", "z"), F.struct("t", "fid")).alias("r")).select("r.*")
 
 
 def scan(mesh: Mesh, emitter_z: float, detector_y: float, detector_z: float, width: float, z_min: float, z_max: float, resolution: int, y_steps: Sequence[float], max_angle: float | None = None, obstruction: Mesh | None = None) -> DataFrame:

@@ -68,3 +68,13 @@ def test_counts_in_sparse_clouds_repeat_little(spark):
     pts = spark.range(2000).select("id", (F.col("id") % 45).cast("double").alias("x"), (F.col("id") * 0.001).alias("y"))
     counts = joins.radius_counts(pts, pts, "id", ("x", "y"), 0.0005)
     assert counts.filter("n = 1").count() == 2000
+
+
+def test_rays_and_points_with_one_key_each_count(spark):
+    box = mesh.box(spark, 60.0, 80.0, 10.0)
+    rays = spark.createDataFrame([(1, -3.0, 5.0), (1, -3.0, 5.0), (1, 7.0, 9.0), (2, 500.0, 0.0)], "id long, ox double, oy double")
+    rays = rays.select("*", F.lit(50.0).alias("oz"), F.lit(0.1).alias("dx"), F.lit(0.0).alias("dy"), F.lit(-1.0).alias("dz"))
+    for more in ({}, {"part_faces": 4}):
+        assert sorted((r["id"], round(r["x"], 6)) for r in mesh.ray_hits(rays, box, "id", **more).collect()) == [(1, 1.5), (1, 1.5), (1, 11.5)]
+    p = spark.createDataFrame([(1, 0.0, 0.0, 9.0), (1, 0.0, 0.0, 9.0)], "id long, x double, y double, z double")
+    assert [r["d"] for r in mesh.closest(p, box, "id", part_faces=4).collect()] == [4.0, 4.0]
