@@ -12,10 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import formats as fm
 
@@ -34,9 +37,14 @@ def _n(data: bytes) -> int:
     return fm.bxyz_head(data)[1]
 
 
+def _frame(r: dict) -> pd.DataFrame:
+    color = pd.array(r["color"], dtype="Int16") if r["color"] is not None else pd.array([None] * len(r["x"]), dtype="Int16")
+    return pd.DataFrame({"frame": r["frame"], "idx": r["idx"], "x": r["x"], "y": r["y"], "z": r["z"], "color": color})
+
+
 def _scan(data: bytes, options: dict) -> pd.DataFrame:
     every = int(options["take_every"]) if options.get("take_every") else None
-    parts = [pd.DataFrame({"frame": r["frame"], "idx": r["idx"], "x": r["x"], "y": r["y"], "z": r["z"], "color": pd.array(r["color"], dtype="Int16") if r["color"] is not None else pd.array([None] * len(r["x"]), dtype="Int16")}) for r in fm.Lptf3(data).rows(every)]
+    parts = [_frame(r) for r in fm.Lptf3(data).rows(every)]
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["frame", "idx", "x", "y", "z", "color"])
 
 
@@ -82,17 +90,30 @@ READERS: dict[str, tuple[str, Callable[[bytes, dict], pd.DataFrame]]] = {
 }
 
 
-def load(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
-    """The rows of all files at path, with path; see READERS for the columns."""
+#: Rows that are handed on at once.
+PIECE = 65_536
+
+
+def _pieces(kind: str, data: bytes, options: dict) -> Iterator[pd.DataFrame]:
+    """A file's rows, frame by frame of a scan, in tables of at most PIECE rows."""
     schema, read = READERS[kind]
     names = [c.split()[0] for c in schema.split(", ")]
+    every = int(options["take_every"]) if options.get("take_every") else None
+    for out in map(_frame, fm.Lptf3(data).rows(every)) if kind == "lptf3" else [read(data, options)]:
+        for s in range(0, len(out), PIECE):
+            yield out[names].iloc[s : s + PIECE]
+
+
+def load(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
+    """The rows of all files at path, with path; see READERS for the columns."""
+    schema, _ = READERS[kind]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for where, data in zip(batch["path"], batch["content"], strict=True):
-                out = read(data, options)[names]
-                out.insert(0, "path", where)
-                yield out
+                for out in _pieces(kind, data, options):
+                    out.insert(0, "path", where)
+                    yield out
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, f"path string, {schema}")
@@ -216,8 +237,8 @@ class _Range(InputPartition):
 class _Reader(DataSourceReader):
     RECORDS = 1 << 20
 
-    def __init__(self, kind: str, options: dict):
-        self.kind, self.options = kind, {k.lower(): v for k, v in options.items()}
+    def __init__(self, kind: str, options: dict, schema: StructType):
+        self.kind, self.options, self.schema = kind, {k.lower(): v for k, v in options.items()}, schema
 
     def partitions(self):
         files = _list(self.options["path"])
@@ -235,9 +256,11 @@ class _Reader(DataSourceReader):
             if part.count >= 0:
                 dtype, _ = fm.bxyz_head(f.read(fm.BXYZ_HEAD))
                 f.seek(fm.BXYZ_HEAD + part.first * dtype.itemsize)
-                cols = fm.bxyz_columns(np.frombuffer(f.read(part.count * dtype.itemsize), dtype), part.first)
-                lists = [v.tolist() if v is not None else [None] * part.count for v in cols.values()]
-                yield from zip(*lists, strict=True)
+                kinds = to_arrow_schema(self.schema)
+                for s in range(0, part.count, PIECE):
+                    n = min(PIECE, part.count - s)
+                    cols = fm.bxyz_columns(np.frombuffer(f.read(n * dtype.itemsize), dtype), part.first + s)
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[k.name], k.type) if cols[k.name] is not None else pa.nulls(n, k.type) for k in kinds], schema=kinds)
                 return
             schema, read = READERS[self.kind]
             out = read(f.read(), self.options)[[c.split()[0] for c in schema.split(", ")]]
@@ -250,30 +273,49 @@ class _Done(WriterCommitMessage):
         self.names = names
 
 
-class _Writer(DataSourceWriter):
-    """One file for each task, written under a hidden name and renamed when the job commits."""
+class _Writer(DataSourceArrowWriter):
+    """Files written under a hidden name and renamed when the job commits: one for each task, of bxyz one for each RECORDS
+    points of a task, so that no task holds more."""
+
+    RECORDS = 1 << 20
 
     def __init__(self, kind: str, options: dict, columns: list[str]):
         self.kind, self.path, self.columns = kind, options["path"], columns
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
-        pdf = pd.DataFrame([r.asDict() for r in rows], columns=self.columns)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.{self.kind}"
-        if pdf.empty:
-            return _Done([])
-        if self.kind == "bxyz":
-            full = lambda names: pdf[names].to_numpy() if all(n in pdf and pdf[n].notna().all() for n in names) else None
-            data = fm.write_bxyz(pdf[["x", "y", "z"]].to_numpy(float), full(["nx", "ny", "nz"]), full(["r", "g", "b"]), pdf["std_dev"].to_numpy(float) if "std_dev" in pdf and pdf["std_dev"].notna().all() else None)
-        else:
-            data = fm.write_stl(pdf[[f"{c}{k}" for k in range(3) for c in "xyz"]].to_numpy(float).reshape(-1, 3, 3))
+        stem, names, held, n = f"part-{task.partitionId():05d}-{task.taskAttemptId()}", [], [], 0
         fs, root = pafs.FileSystem.from_uri(self.path if "://" in self.path else "file://" + posixpath.abspath(self.path))
-        fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/.{name}") as out:
-            out.write(data)
-        return _Done([name])
+
+        def flush():
+            name = f"{stem}-{len(names)}.{self.kind}" if names else f"{stem}.{self.kind}"
+            fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(f"{root}/.{name}") as out:
+                out.write(self.data(pa.Table.from_batches(held)))
+            names.append(name)
+
+        for batch in batches:
+            while self.kind == "bxyz" and n + batch.num_rows > self.RECORDS:
+                held.append(batch.slice(0, self.RECORDS - n))
+                batch = batch.slice(self.RECORDS - n)
+                flush()
+                held, n = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if n:
+            flush()
+        return _Done(names)
+
+    def data(self, table: pa.Table) -> bytes:
+        have = {c: table.column(c) for c in self.columns if c in table.column_names and not table.column(c).null_count}
+        full = lambda names: np.column_stack([have[n].to_numpy().astype(float) for n in names]) if all(n in have for n in names) else None
+        if self.kind == "bxyz":
+            std = full(["std_dev"])
+            return fm.write_bxyz(np.column_stack([table.column(n).to_numpy().astype(float) for n in "xyz"]), full(["nx", "ny", "nz"]), full(["r", "g", "b"]), std[:, 0] if std is not None else None)
+        return fm.write_stl(np.column_stack([table.column(f"{c}{k}").to_numpy().astype(float) for k in range(3) for c in "xyz"]).reshape(-1, 3, 3))
 
     def commit(self, messages):
         fs, root = pafs.FileSystem.from_uri(self.path if "://" in self.path else "file://" + posixpath.abspath(self.path))
@@ -298,7 +340,7 @@ def _source(kind: str) -> type[DataSource]:
             return READERS[kind][0]
 
         def reader(self, schema):
-            return _Reader(kind, dict(self.options))
+            return _Reader(kind, dict(self.options), schema)
 
         def writer(self, schema, overwrite):
             if kind not in ("bxyz", "stl"):
