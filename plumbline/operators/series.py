@@ -145,14 +145,14 @@ def closest_index(value: Column, before: Column, after: Column) -> Column:
 
 
 def interpolate(queries: DataFrame, series: DataFrame, by: Keys, x: str = "x", y: str = "y") -> DataFrame:
-    """queries (by, x, ...) with y of the series at x, linear between neighbours, null outside. One sort, no pairs."""
+    """queries (by, x, ...) with y of the series at x, linear between neighbours, null outside. A sort each way, no pairs."""
     kept = [c for c in queries.columns if c not in (*by, x)]
     q = queries.select(*by, x, F.struct(F.lit(1).alias("_one"), *kept).alias("_q"), F.lit(None).cast("double").alias("_y"))
     s = series.select(*by, F.col(x), F.lit(None).cast(q.schema["_q"].dataType).alias("_q"), F.col(y).cast("double").alias("_y"))
     at = F.when(F.col("_y").isNotNull(), F.struct(F.col(x).alias("x"), F.col("_y").alias("y")))
-    w = Window.partitionBy(*by).orderBy(x)  # RANGE frames: rows of equal x see each other
-    before = F.last(at, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(at, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # RANGE frames: rows of equal x see each other. Both start at an end of the series: a frame that ends there is read anew for each row
+    before = F.last(at, ignorenulls=True).over(Window.partitionBy(*by).orderBy(x).rangeBetween(Window.unboundedPreceding, 0))
+    after = F.last(at, ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(x)).rangeBetween(Window.unboundedPreceding, 0))
     both = q.unionByName(s).select(*by, x, "_q", before.alias("_b"), after.alias("_a")).filter("_q is not null")
     t = (F.col(x) - F.col("_b.x")) / F.nullif(F.col("_a.x") - F.col("_b.x"), F.lit(0.0))
     value = F.when(F.col("_b.x") == F.col(x), F.col("_b.y")).otherwise(F.col("_b.y") + (F.col("_a.y") - F.col("_b.y")) * t)
