@@ -646,20 +646,38 @@ def triangles_meet(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return ~apart
 
 
-def collisions(meshes: DataFrame, roles: DataFrame, exceptions: DataFrame | None = None, size: float = 1.0) -> DataFrame:
-    """id1, id2 of meshes that meet. meshes: mesh_id, x0..z2 for each face; roles: mesh_id, moving; exceptions: id1, id2.
+def collisions(meshes: DataFrame, roles: DataFrame, exceptions: DataFrame | Column | None = None, size: float = 1.0) -> DataFrame:
+    """id1, id2 of meshes that meet. meshes: mesh_id, x0..z2 for each face; roles: mesh_id, moving; exceptions: rows id1, id2
+    or a test of the columns id1 and id2 that goes both ways.
 
-    Pairs of moving and other meshes whose boxes meet are compared face by face where faces share a grid cell.
+    Pairs of moving and other meshes whose boxes meet, found by cells that both touch, are compared face by face where faces
+    share a grid cell.
     """
     low = [F.least(*(F.col(f"{c}{k}") for k in range(3))) for c in "xyz"]
     high = [F.greatest(*(F.col(f"{c}{k}") for k in range(3))) for c in "xyz"]
     rows = meshes.select("*", *(e.alias(f"l{c}") for e, c in zip(low, "xyz", strict=True)), *(e.alias(f"h{c}") for e, c in zip(high, "xyz", strict=True)))
     boxes = rows.groupBy("mesh_id").agg(*(F.min(f"l{c}").alias(f"l{c}") for c in "xyz"), *(F.max(f"h{c}").alias(f"h{c}") for c in "xyz")).join(roles, "mesh_id")
-    a, b = (boxes.select(*(F.col(c).alias(f"{c}_{k}") for c in boxes.columns)) for k in (1, 2))
+    boxes = cut(boxes, "boxes")
+    wide = F.greatest(*(F.col(f"h{c}") - F.col(f"l{c}") for c in "xyz"))
+    mean, most = boxes.agg(F.avg(wide), F.max(wide)).first()
+    # twice the mean extent, so that most boxes touch few cells; the largest one touches 17 an axis at most
+    side = max(2 * (mean or 0.0), (most or 0.0) / 16, 1e-300)
+    at = lambda e: F.floor(e / side).cast("long")
+    spread = boxes
+    for c in "xyz":
+        spread = spread.withColumn(f"_{c}", F.explode(F.sequence(at(F.col(f"l{c}")), at(F.col(f"h{c}")))))
+    a, b = (spread.select(*(F.col(f"_{c}") for c in "xyz"), *(F.col(c).alias(f"{c}_{k}") for c in boxes.columns)) for k in (1, 2))
     meets = reduce(lambda s, t: s & t, ((F.col(f"l{c}_1") <= F.col(f"h{c}_2")) & (F.col(f"l{c}_2") <= F.col(f"h{c}_1")) for c in "xyz"))
-    pairs = a.filter("moving_1").join(b, (F.col("mesh_id_1") != F.col("mesh_id_2")) & (~F.col("moving_2") | (F.col("mesh_id_1") < F.col("mesh_id_2"))) & meets)
-    pairs = pairs.select(F.col("mesh_id_1").alias("id1"), F.col("mesh_id_2").alias("id2"))
-    if exceptions is not None:
+    # of the cells that both touch, the first one gives the pair
+    once = reduce(lambda s, t: s & t, (F.col(f"_{c}") == at(F.greatest(f"l{c}_1", f"l{c}_2")) for c in "xyz"))
+    roles_ok = (F.col("mesh_id_1") != F.col("mesh_id_2")) & (~F.col("moving_2") | (F.col("mesh_id_1") < F.col("mesh_id_2")))
+    pairs = a.filter("moving_1").hint("merge").join(b, ["_x", "_y", "_z"]).filter(roles_ok & meets & once)
+    # with the box that both share: only faces that reach it can meet
+    common = [F.greatest(f"l{c}_1", f"l{c}_2").alias(f"lo{c}") for c in "xyz"] + [F.least(f"h{c}_1", f"h{c}_2").alias(f"hi{c}") for c in "xyz"]
+    pairs = pairs.select(F.col("mesh_id_1").alias("id1"), F.col("mesh_id_2").alias("id2"), *common)
+    if isinstance(exceptions, Column):
+        pairs = pairs.filter(~F.coalesce(exceptions, F.lit(False)))
+    elif exceptions is not None:
         both = exceptions.select("id1", "id2").union(exceptions.select("id2", "id1"))
         pairs = pairs.join(both, ["id1", "id2"], "left_anti")
     cells = [F.sequence(F.floor(F.col(f"l{c}") / size).cast("long"), F.floor(F.col(f"h{c}") / size).cast("long")) for c in "xyz"]
@@ -667,15 +685,19 @@ def collisions(meshes: DataFrame, roles: DataFrame, exceptions: DataFrame | None
     for c, s in zip("xyz", cells, strict=True):
         dealt = dealt.withColumn(f"_{c}", F.explode(s))
     names = [f"{c}{k}" for k in range(3) for c in "xyz"]
-    one = dealt.select(F.col("mesh_id").alias("id1"), "_x", "_y", "_z", F.array(*names).alias("t1"))
-    two = dealt.select(F.col("mesh_id").alias("id2"), "_x", "_y", "_z", F.array(*names).alias("t2"))
-    met = pairs.join(one, "id1").join(two, ["id2", "_x", "_y", "_z"]).select("id1", "id2", "t1", "t2")
+    own = [*names, *(f"{e}{c}" for c in "xyz" for e in "lh")]
+    one, two = (dealt.select(F.col("mesh_id").alias(f"id{k}"), "_x", "_y", "_z", *(F.col(n).alias(f"{n}_{k}") for n in own)) for k in (1, 2))
+    near = lambda k: reduce(lambda s, t: s & t, ((F.col(f"l{c}_{k}") <= F.col(f"hi{c}")) & (F.col(f"lo{c}") <= F.col(f"h{c}_{k}")) for c in "xyz"))
+    in_cell = reduce(lambda s, t: s & t, (F.col(f"_{c}").between(F.floor(F.col(f"lo{c}") / size), F.floor(F.col(f"hi{c}") / size)) for c in "xyz"))
+    once = reduce(lambda s, t: s & t, (F.col(f"_{c}") == F.floor(F.greatest(f"l{c}_1", f"l{c}_2") / size) for c in "xyz"))
+    met = pairs.join(one, "id1").filter(near(1) & in_cell).join(two, ["id2", "_x", "_y", "_z"]).filter(near(2) & meets & once)
+    met = met.select("id1", "id2", *(f"{n}_{k}" for k in (1, 2) for n in names))
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                ok = triangles_meet(np.stack(pdf["t1"].to_numpy()).reshape(-1, 3, 3), np.stack(pdf["t2"].to_numpy()).reshape(-1, 3, 3))
-                yield pdf.loc[ok, ["id1", "id2"]].drop_duplicates()
+                s, t = (pdf[[f"{n}_{k}" for n in names]].to_numpy(float).reshape(-1, 3, 3) for k in (1, 2))
+                yield pdf.loc[triangles_meet(s, t), ["id1", "id2"]].drop_duplicates()
 
     kind = dict(meshes.dtypes)["mesh_id"]
     return met.mapInPandas(run, f"id1 {kind}, id2 {kind}").distinct()

@@ -4,10 +4,12 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import components
-from plumbline.operators import curves, graph, joins, mesh, normals, sampling
+from plumbline.operators import curves, graph, joins, mesh, normals, sampling, series
+from plumbline.sources import files, formats
 
 
 def test_texture_lookup_keeps_each_place_and_stays_narrow(spark):
@@ -120,3 +122,50 @@ def test_many_curves_are_simplified_together(spark):
         assert found.orderBy("c", "seq").toPandas()[["c", "seq"]].equals(rows[keep][["c", "seq"]].reset_index(drop=True))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_edges_give_the_places_on_them(spark):
+    rows = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 3.0, 0.0), (1, 2, 3.0, 0.0), (1, 3, 3.0, 1.0), (2, 0, 5.0, 5.0), (2, 1, 5.0, 5.0), (3, 0, 1.0, 1.0), (3, 1, 1.5, 1.0)], "c long, seq long, x double, y double")
+    found = curves.resample(rows, ["c"], n=5)
+    got = sorted(tuple(r) for r in found.filter("c <> 2").collect())
+    assert got == [(1, 0, 0.0, 0.0, 0.0), (1, 1, 1.0, 1.0, 0.0), (1, 2, 2.0, 2.0, 0.0), (1, 3, 3.0, 3.0, 0.0), (1, 4, 4.0, 3.0, 1.0), *((3, k, k / 8, 1 + k / 8, 1.0) for k in range(5))]
+    assert sorted(tuple(r) for r in found.filter("c = 2").collect()) == [(2, k, 0.0, None, None) for k in range(5)]
+    assert [r["length"] for r in curves.resample(rows.filter("c = 1"), ["c"], spacing=1.5).orderBy("i").collect()] == [0.5, 2.0, 3.5]
+    assert [r["length"] for r in curves.resample(rows.filter("c = 1"), ["c"], max_spacing=1.9).orderBy("i").collect()] == pytest.approx([0, 4 / 3, 8 / 3, 4])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort ") == 1
+
+
+def test_interpolation_never_looks_to_the_end_of_a_series(spark):
+    s = spark.range(2000).select(F.lit(1).alias("id"), (F.col("id") * 2).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    q = spark.range(4001).select(F.lit(1).alias("id"), (F.col("id") - 1).cast("double").alias("x"))
+    found = series.interpolate(q, s, ["id"])
+    assert "UnboundedFollowing" not in found._jdf.queryExecution().executedPlan().toString().replace("unboundedfollowing", "UnboundedFollowing")
+    got = {r["x"]: r["y"] for r in found.collect()}
+    assert got[-1.0] is None and got[0.0] == 0.0 and got[3.0] == 1.5 and got[3998.0] == 1999.0 and got[3999.0] is None
+
+
+def test_collisions_need_no_list_of_all_exceptions(spark):
+    box = mesh.box(spark, 2.0, 2.0, 2.0).corners()
+    at = spark.range(12).select(F.col("id").alias("mesh_id"), (F.col("id") * 1.5).alias("px"), (F.col("id") % 2 == 0).alias("moving"))
+    faces = at.join(box).select("mesh_id", "fid", *((F.col(f"{c}{k}") + (F.col("px") if c == "x" else F.lit(0.0))).alias(f"{c}{k}") for k in range(3) for c in "xyz")).localCheckpoint()
+    found = mesh.collisions(faces, at.select("mesh_id", "moving"), (F.col("id1") + F.col("id2")) % 3 == 0, 2.0)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(a, b) for a in range(0, 12, 2) for b in range(12) if abs(a - b) == 1 and (a + b) % 3}
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_clouds_are_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    files.register(spark)
+    n = (1 << 20) + 70_000
+    pts = spark.range(n).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"), F.lit(2.0).alias("z")).coalesce(1)
+    pts.write.format("bxyz").mode("append").save(str(tmp_path / "a"))
+    assert len(list((tmp_path / "a").glob("*.bxyz"))) == 2  # one task
+    back = spark.read.format("bxyz").load(str(tmp_path / "a"))
+    assert back.agg(F.count("*"), F.max("x"), F.sum("y"), F.count("nx"), F.max("idx")).first() == (n, float(n - 1), float(n), 0, (1 << 20) - 1)
+
+
+def test_scans_come_frame_by_frame():
+    x = np.arange(200_000, dtype=np.int32)
+    data = formats.write_lptf3([(k, x, x, None) for k in (3, 5)], 200_000)
+    sizes = [len(p) for p in files._pieces("lptf3", data, {})]
+    assert max(sizes) <= 65_536 and sum(sizes) == 400_000
