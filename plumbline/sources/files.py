@@ -99,9 +99,14 @@ def _pieces(kind: str, data: bytes, options: dict) -> Iterator[pd.DataFrame]:
     schema, read = READERS[kind]
     names = [c.split()[0] for c in schema.split(", ")]
     every = int(options["take_every"]) if options.get("take_every") else None
-    for out in map(_frame, fm.Lptf3(data).rows(every)) if kind == "lptf3" else [read(data, options)]:
-        for s in range(0, len(out), PIECE):
-            yield out[names].iloc[s : s + PIECE]
+    if kind == "lptf3":
+        for r in fm.Lptf3(data).rows(every):
+            for s in range(0, len(r["x"]), PIECE):
+                yield _frame({k: v if v is None else v[s : s + PIECE] for k, v in r.items()})[names]
+        return
+    out = read(data, options)
+    for s in range(0, len(out), PIECE):
+        yield out[names].iloc[s : s + PIECE]
 
 
 def load(spark: SparkSession, kind: str, path: str, **options) -> DataFrame:
